@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import common, packing
+from tidemark.llm import common, decontamination, packing, simhash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +27,13 @@ def word_tokenizer() -> str:
 @query("op1_best_fit_packing")
 def op1_best_fit_packing(spark, sf_dir):
     return packing.pack(common.table(spark, sf_dir, "documents"), word_tokenizer(), capacity=4096, end_id=1)
+
+
+@query("op2_simhash_near_duplicates")
+def op2_simhash_near_duplicates(spark, sf_dir):
+    return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
+@query("op5_benchmark_decontamination")
+def op5_benchmark_decontamination(spark, sf_dir):
+    return decontamination.contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
