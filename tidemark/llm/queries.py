@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import common, decontamination, packing, simhash
+from tidemark.llm import common, decontamination, packing, quality, simhash, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +37,13 @@ def op2_simhash_near_duplicates(spark, sf_dir):
 @query("op5_benchmark_decontamination")
 def op5_benchmark_decontamination(spark, sf_dir):
     return decontamination.contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_ftrl_toxicity")
+def op6_ftrl_toxicity(spark, sf_dir):
+    return toxicity.toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+@query("op8_additive_quality")
+def op8_additive_quality(spark, sf_dir):
+    return quality.quality(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
