@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import common, decontamination, packing, quality, simhash, toxicity
+from tidemark.llm import common, decontamination, language, packing, quality, simhash, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +47,8 @@ def op6_ftrl_toxicity(spark, sf_dir):
 @query("op8_additive_quality")
 def op8_additive_quality(spark, sf_dir):
     return quality.quality(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+@query("op9_kneser_ney_language")
+def op9_kneser_ney_language(spark, sf_dir):
+    return language.identify(common.table(spark, sf_dir, "documents"))
