@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import common, decontamination, language, packing, quality, simhash, toxicity
+from pyspark.sql import functions as F
+
+from tidemark.llm import common, decontamination, language, packing, quality, secrets, simhash, toxicity, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +54,14 @@ def op8_additive_quality(spark, sf_dir):
 @query("op9_kneser_ney_language")
 def op9_kneser_ney_language(spark, sf_dir):
     return language.identify(common.table(spark, sf_dir, "documents"))
+
+
+@query("op7_secret_ledger")
+def op7_secret_ledger(spark, sf_dir):
+    found = secrets.scan(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query("op10_url_language_models")
+def op10_url_language_models(spark, sf_dir):
+    return urls.judge(common.table(spark, sf_dir, "pages"))
