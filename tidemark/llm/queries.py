@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, decontamination, language, packing, quality, secrets, simhash, toxicity, urls
+from tidemark.llm import common, decontamination, flac, language, packing, quality, secrets, simhash, toxicity, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,8 @@ def op7_secret_ledger(spark, sf_dir):
 @query("op10_url_language_models")
 def op10_url_language_models(spark, sf_dir):
     return urls.judge(common.table(spark, sf_dir, "pages"))
+
+
+@query("op4_flac_media")
+def op4_flac_media(spark, sf_dir):
+    return flac.digests(common.table(spark, sf_dir, "documents"))
