@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, decontamination, flac, language, packing, quality, secrets, simhash, toxicity, urls
+from tidemark.llm import common, decontamination, flac, language, packing, pii, quality, secrets, simhash, toxicity, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +70,9 @@ def op10_url_language_models(spark, sf_dir):
 @query("op4_flac_media")
 def op4_flac_media(spark, sf_dir):
     return flac.digests(common.table(spark, sf_dir, "documents"))
+
+
+@query("op3_weakly_supervised_pii")
+def op3_weakly_supervised_pii(spark, sf_dir):
+    found = pii.detect(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *(f"n_{k}" for k in pii.BASE), F.sha2("base", 256).alias("base_sha256"), "spans")
