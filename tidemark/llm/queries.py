@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import common, decontamination, flac, language, packing, pii, quality, secrets, simhash, toxicity, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
