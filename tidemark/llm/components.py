@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,29 +13,57 @@ from tidemark.llm import common
 
 #: Rounds after which the input can't be what it claims; each round at least halves long paths.
 MOST_ROUNDS = 60
+#: So many edges (16 bytes each) one task may finish on its own; more are contracted by all.
+LOCAL_EDGES = 1_000_000
+
+
+def smallest_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges u-v and, for each, the smallest node of its component."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        la, lb = label[a], label[b]
+        if (la == lb).all():
+            return nodes, nodes[label]
+        least = np.minimum(la, lb)
+        np.minimum.at(label, la, least)
+        np.minimum.at(label, lb, least)
+        while (label[label] != label).any():
+            label = label[label]
+
 
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+        if held:
+            nodes, least = smallest_reachable(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(least)], names=["node", "component"])
 
-def connected_components(edges: DataFrame) -> DataFrame:
+    return edges.coalesce(1).mapInArrow(solve, "node long, component long")
+
+
+def connected_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(node, component) for every node of edges (u, v), component being the smallest node that can be reached.
 
-    Alternates large-star and small-star steps until all edges are stars. A node's smallest neighbour is a partial aggregate, and
-    the join that follows may be split where a node has very many neighbours, so no neighbourhood is gathered in one place.
+    Alternates large-star and small-star steps until all edges are stars, or few enough for one task to finish. A node's smallest neighbour
+    is a partial aggregate, and the join that follows may be split where a node has very many neighbours, so no neighbourhood is gathered in one place.
     Loops and repeated edges do no harm; edges with a null end are left out; no edges: no rows.
     """
-    e = edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    e = edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct()
     e = common.checkpointed(e)
-    before = None
+    size = lambda: e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
+    now, before = size(), None
     for _ in range(MOST_ROUNDS):
+        if now[0] <= local_edges:
+            return _in_one_task(e)
+        if now == before:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         e = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         e = e.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
         e = common.checkpointed(e)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
+        now, before = size(), now
+    raise RuntimeError("components did not settle")

@@ -62,9 +62,9 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", name: str = "__tm_
 
 
 def block_keys(fp):
-    """The 6 pairs of blocks of a fingerprint: number of the pair, and the two blocks' bits."""
-    masks = [sum(0xFFFF << (BLOCK_BITS * i) for i in pair) for pair in combinations(range(BITS // BLOCK_BITS), 2)]
-    return F.explode(F.array(*(F.struct(F.lit(k).alias("pair"), fp.bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(masks))))
+    """The 6 pairs of blocks of a fingerprint: the mask of the two blocks, and their bits."""
+    masks = [_signed(sum(0xFFFF << (BLOCK_BITS * i) for i in pair)) for pair in combinations(range(BITS // BLOCK_BITS), 2)]
+    return F.explode(F.transform(F.lit(masks).cast("array<long>"), lambda m: F.struct(m.alias("mask"), fp.bitwiseAND(m).alias("bits"))))
 
 
 def _signed(x: int) -> int:
@@ -73,19 +73,18 @@ def _signed(x: int) -> int:
 
 def links(fingerprints: DataFrame) -> DataFrame:
     """Links (u, v), u > v, between distinct fingerprints (column fp) at 2 or fewer bits, enough of them to connect all that are so linked."""
-    blocks = fingerprints.select("fp", block_keys(F.col("fp")).alias("b")).select("fp", "b.pair", "b.bits")
-    shared = blocks.groupBy("pair", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = common.checkpointed(blocks.join(shared, ["pair", "bits"]))
+    blocks = fingerprints.select("fp", block_keys(F.col("fp")).alias("b")).select("fp", "b.mask", "b.bits")
+    shared = blocks.groupBy("mask", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = common.checkpointed(blocks.join(shared, ["mask", "bits"]))
     few = met.where(F.col("n") <= PAIRWISE)
-    pairs = few.alias("a").join(few.alias("b"), (F.col("a.pair") == F.col("b.pair")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.fp") > F.col("b.fp")))
+    pairs = few.alias("a").join(few.alias("b"), (F.col("a.mask") == F.col("b.mask")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.fp") > F.col("b.fp")))
     pairs = pairs.where(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= 2).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
-    pairs_of = list(combinations(range(BITS // BLOCK_BITS), 2))
-    flips = [[0, *(1 << i for i in range(BITS) if i // BLOCK_BITS not in p)] for p in pairs_of]
-    table = F.array(*(F.array(*(F.lit(_signed(x)).cast("long") for x in own)) for own in flips))
-    many = met.where(F.col("n") > PAIRWISE).select("fp", F.explode(F.get(table, F.col("pair"))).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("centre"))
+    many = met.where(F.col("n") > PAIRWISE).select("fp", "mask", F.explode(F.sequence(F.lit(-1), F.lit(BITS - 1))).alias("i"))
+    bit = F.expr("CASE WHEN i < 0 THEN 0L ELSE shiftleft(1L, i) END")
+    many = many.where(F.col("mask").bitwiseAND(bit) == 0).select("fp", F.col("fp").bitwiseXOR(bit).alias("centre"))
     hubs = many.groupBy("centre").agg(F.min("fp").alias("hub"), F.max("fp").alias("top")).where("hub < top").select("centre", "hub")
     stars = many.join(hubs, "centre").where("fp <> hub").select(F.col("fp").alias("u"), F.col("hub").alias("v"))
-    return pairs.union(stars).distinct()
+    return pairs.union(stars)
 
 
 def groups(keyed: DataFrame) -> DataFrame:
