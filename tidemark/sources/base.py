@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -14,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.relational import WEIGHT
+from tidemark.sources.layers import Layers, matching, stored
 
 INSERT, DELETE, UPDATE, UPSERT = "insert", "delete", "update", "upsert"
 
@@ -44,21 +43,6 @@ def insert_or_update(row: Mapping[str, Any], **changes: Any) -> Operation:
     return Operation(UPSERT, row, changes=changes)
 
 
-def shared(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, or a temporary one where that is unset."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """df as a table in a folder that all machines share: its lineage ends there."""
-    path = f"{(folder or shared(df.sparkSession)).rstrip('/')}/v-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class BaseTable:
     """Rows, their key columns and columns' defaults. perform() gives the signed rows that a batch amounts to."""
 
@@ -66,8 +50,12 @@ class BaseTable:
         self.spark, self.name, self.schema, self.key, self.defaults, self.folder = spark, name, schema, tuple(key), dict(defaults or {}), folder
         if unknown := [c for c in self.key if c not in schema.names]:
             raise ValueError(f"{name} has no columns {unknown}")
-        self.rows = spark.createDataFrame([], schema) if rows is None else rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))
-        self.version = 0
+        start = spark.createDataFrame([], schema) if rows is None else rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))
+        self.layers, self.version = Layers(start, self.key, folder), 0
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.layers.rows
 
     def _frame(self, operations: Iterable[Operation]) -> DataFrame:
         """Operations as rows: _seq, _op, the values, and which columns are set, added to or subtracted from."""
@@ -105,33 +93,31 @@ class BaseTable:
         names = self.schema.names
         if not self.key:
             change = stored(ops.where(F.col("_op") == INSERT).select(*names, F.lit(1).alias(WEIGHT)), self.folder)
-            self._replace(self.rows.unionByName(change.drop(WEIGHT)))
+            self.layers.merge(self.rows.unionByName(change.drop(WEIGHT)))
+            self.version += 1
             return change
         ops = stored(ops, self.folder)
         touched = ops.select(*self.key).distinct()
-        before = self.rows.join(touched, list(self.key), "left_semi").select(F.lit(-1).cast("long").alias("_seq"), F.lit("row").alias("_op"), *names, *(F.lit(None).cast(f.dataType).alias(f"_new_{f.name}") for f in self.schema), F.array().cast("array<string>").alias("_how"))
+        before = matching(self.rows, touched, self.key).select(F.lit(-1).cast("long").alias("_seq"), F.lit("row").alias("_op"), *names, *(F.lit(None).cast(f.dataType).alias(f"_new_{f.name}") for f in self.schema), F.array().cast("array<string>").alias("_how"))
         ordered = before.unionByName(ops).repartition(*self.key).sortWithinPartitions(*self.key, "_seq")
         change = stored(ordered.mapInPandas(_fold(names, self.key), T.StructType([*self.schema, T.StructField(WEIGHT, T.IntegerType())])), self.folder)
         gone = change.where(F.col(WEIGHT) < 0).select(*self.key)
-        self._replace(self.rows.join(gone, list(self.key), "left_anti").select(*names).unionByName(change.where(F.col(WEIGHT) > 0).drop(WEIGHT)))
-        return change
-
-    def _replace(self, rows: DataFrame) -> None:
-        self.rows = stored(rows, self.folder)
+        self.layers.merge(matching(self.rows, gone, self.key, "left_anti").unionByName(change.where(F.col(WEIGHT) > 0).drop(WEIGHT)))
         self.version += 1
+        return change
 
     def add_column(self, name: str, kind: T.DataType | str, default: Any = None) -> None:
         """Rows there get the default; so do later rows that don't say."""
         if name in self.schema.names:
             raise ValueError(f"{self.name} has a column {name}")
-        self.rows = self.rows.withColumn(name, F.lit(default).cast(kind))
+        self.layers.rows = self.rows.withColumn(name, F.lit(default).cast(kind))
         self.schema, self.defaults = self.rows.schema, self.defaults | {name: default}
         self.version += 1
 
     def drop_column(self, name: str) -> None:
         if name in self.key or name not in self.schema.names:
             raise ValueError(f"{name} is a key or no column of {self.name}")
-        self.rows = self.rows.drop(name)
+        self.layers.rows = self.rows.drop(name)
         self.schema = self.rows.schema
         self.version += 1
 

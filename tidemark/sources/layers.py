@@ -1,0 +1,56 @@
+"""Stored rows that change key by key: what changes is written, the rest is merged when read and rewritten once in a while."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Changes that are merged when read at most; with the next one all rows are rewritten.
+LAYERS = 6
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, shared by all machines; a temporary one only where that is unset."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """df as a table in a folder that all machines share: its lineage ends there."""
+    path = f"{(folder or shared(df.sparkSession)).rstrip('/')}/v-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def matching(df: DataFrame, keys: DataFrame, by: Sequence[str], how: str = "left_semi") -> DataFrame:
+    """Rows of df whose columns by are among the keys (left_semi) or aren't (left_anti); null is a key like any other."""
+    if not by:
+        return df if how == "left_semi" else df.limit(0)
+    own = keys.select(*(F.col(f"`{c}`").alias(f"__m{i}") for i, c in enumerate(by)))
+    return df.join(own, reduce(lambda a, b: a & b, (df[f"`{c}`"].eqNullSafe(own[f"__m{i}"]) for i, c in enumerate(by))), how)
+
+
+class Layers:
+    """Rows, replaced key by key."""
+
+    def __init__(self, rows: DataFrame, key: Sequence[str], folder: str | None = None, most: int = LAYERS):
+        self.rows, self.key, self.folder, self.most, self.depth = rows, tuple(key), folder, most, 0
+
+    def replace(self, keys: DataFrame, rows: DataFrame) -> None:
+        """The rows under the keys give way to rows. Both are stored first."""
+        keys, rows = stored(keys, self.folder), stored(rows, self.folder)
+        self.merge(matching(self.rows, keys, self.key, "left_anti").unionByName(rows))
+
+    def merge(self, rows: DataFrame) -> None:
+        """rows, a plan over the rows so far and stored changes, are the rows from now on."""
+        self.depth += 1
+        self.rows = rows
+        if self.depth >= self.most:
+            self.rows, self.depth = stored(rows, self.folder), 0
