@@ -282,7 +282,7 @@ def _frames(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
         rows = np.nonzero(order > i)[0]
         x[deepest + i, rows] = signed(take(rows, 8), 8)
     weights, shift = np.zeros((deepest, total), np.int32), np.zeros(total, np.int32)
-    for o in range(1, 5):
+    for o in range(1, min(4, deepest) + 1):
         weights[:o, fixed & (order == o)] = np.array(_FIXED[o])[:, None]
     rows = np.nonzero(linear)[0]
     if len(rows):
