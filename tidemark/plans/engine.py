@@ -69,6 +69,11 @@ class View:
     def compute(self, tables: Mapping[str, DataFrame]) -> DataFrame:
         return unique(bound(self.engine.spark, self.plan.sql(), tables, self.sources))
 
+    def same_as(self, other: View) -> bool:
+        """Whether Spark's optimiser makes the same plan of both."""
+        mine, theirs = (v.plain._jdf.queryExecution().optimizedPlan() for v in (self, other))
+        return bool(mine.sameResult(theirs))
+
     @property
     def rows(self) -> DataFrame:
         """All rows, key columns included."""
@@ -99,7 +104,7 @@ class View:
         parents, names = self.plan.parents(), self.layers.rows.columns
         if parents is not None and not {"LIMIT", "HAVING"} & set(self.plan.clauses):
             if not self.plan.aggregates and not self.plan.clauses["SELECT"][0].is_word("DISTINCT"):
-                return self._linear(self.plan, parents, before, after, changes, names)
+                return consolidated(self._linear(self.plan, parents, before, after, changes, names))
             by = self._group_columns()
             if by is not None:
                 own = [f"{e} AS `{n}`" for n, e in by.items() if n not in self.keys] or ["1 AS __one"]
@@ -109,7 +114,10 @@ class View:
         return consolidated(difference(self.layers.rows, self.compute(after)))
 
     def _linear(self, plan: Select, parents, before, after, changes, names) -> DataFrame:
-        """A change of a join: for each input its change, joined with the inputs before it as they are and those after it as they were."""
+        """A change of a join: for each input its change, joined with the inputs before it as they are and those after it as they were.
+
+        Not consolidated: of a row that only some columns are taken of, an update may come to nothing in these and yet matter.
+        """
         out, spark = None, self.engine.spark
         for i, (table, alias) in enumerate(parents):
             found = next((changes[t] for t in changes if t.lower() == table.lower()), None)
@@ -119,7 +127,7 @@ class View:
             sql = plan.sql([f"`{alias}`.{WEIGHT} AS __weight"])
             part = unique(bound(spark, _renamed(sql, parents), own, own)).select(*names, F.col("__weight").alias(WEIGHT))
             out = part if out is None else out.unionByName(part)
-        return consolidated(out) if out is not None else signed(self.compute(after).limit(0).select(*names))
+        return out if out is not None else signed(self.compute(after).limit(0).select(*names))
 
     def _group_columns(self) -> dict[str, str] | None:
         """Output column to expression for the grouping columns, if all are among the outputs."""
@@ -272,7 +280,6 @@ class Engine:
     def create_table(self, name: str, schema: T.StructType | str, key: Sequence[str] = (), defaults: Mapping[str, Any] | None = None, rows: DataFrame | None = None) -> BaseTable:
         if name in self.tables or name in self.views:
             raise ValueError(f"there is a {name}")
-        schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         self.tables[name] = BaseTable(self.spark, name, schema, key, defaults, rows, self.folder)
         return self.tables[name]
 
@@ -282,7 +289,7 @@ class Engine:
             raise ValueError(f"there is a {name}")
         plan = Select(plan) if isinstance(plan, str) else plan
         made = View(self, name, plan, materialize or self.materialize, public)
-        same = next((v for v in self.views.values() if isinstance(plan, Select) and isinstance(v.plan, Select) and v.materialize == made.materialize and len(v.keys) == len(made.keys) and v.columns == made.columns and v.plain.sameSemantics(made.plain)), None)
+        same = next((v for v in self.views.values() if isinstance(plan, Select) and isinstance(v.plan, Select) and v.materialize == made.materialize and len(v.keys) == len(made.keys) and v.columns == made.columns and v.same_as(made)), None)
         if same is not None:
             self.aliases[name] = same.name
             return same

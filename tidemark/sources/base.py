@@ -46,7 +46,8 @@ def insert_or_update(row: Mapping[str, Any], **changes: Any) -> Operation:
 class BaseTable:
     """Rows, their key columns and columns' defaults. perform() gives the signed rows that a batch amounts to."""
 
-    def __init__(self, spark: SparkSession, name: str, schema: T.StructType, key: Sequence[str] = (), defaults: Mapping[str, Any] | None = None, rows: DataFrame | None = None, folder: str | None = None):
+    def __init__(self, spark: SparkSession, name: str, schema: T.StructType | str, key: Sequence[str] = (), defaults: Mapping[str, Any] | None = None, rows: DataFrame | None = None, folder: str | None = None):
+        schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         self.spark, self.name, self.schema, self.key, self.defaults, self.folder = spark, name, schema, tuple(key), dict(defaults or {}), folder
         if unknown := [c for c in self.key if c not in schema.names]:
             raise ValueError(f"{name} has no columns {unknown}")

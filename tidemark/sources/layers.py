@@ -44,7 +44,10 @@ class Layers:
         self.rows, self.key, self.folder, self.most, self.depth = rows, tuple(key), folder, most, 0
 
     def replace(self, keys: DataFrame, rows: DataFrame) -> None:
-        """The rows under the keys give way to rows. Both are stored first."""
+        """The rows under the keys give way to rows. Both are stored first. Without key columns, all rows are replaced."""
+        if not self.key:
+            self.rows, self.depth = stored(rows, self.folder), 0
+            return
         keys, rows = stored(keys, self.folder), stored(rows, self.folder)
         self.merge(matching(self.rows, keys, self.key, "left_anti").unionByName(rows))
 
