@@ -19,6 +19,8 @@ from tidemark.sources.layers import Layers, matching, stored
 
 _NUMBERS = itertools.count()
 NONE, FULL, PARTIAL = "none", "full", "partial"
+#: Keys of one column that a read may name in a filter.
+FILTERED_KEYS = 200
 
 
 def bound(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame], names: Iterable[str]) -> DataFrame:
@@ -190,9 +192,9 @@ class View:
         return self._only(self.rows, keys).select(*self.columns)
 
     def _only(self, rows: DataFrame, keys: Sequence[tuple]) -> DataFrame:
-        """A filter where there's one key column, so that it reaches the scan; a semi-join with the keys where there are several."""
+        """A filter where there's one key column and not very many keys, so that it reaches the scan; else a semi-join with the keys."""
         kinds = T.StructType([T.StructField(k, rows.schema[k].dataType) for k in self.keys])
-        if len(self.keys) == 1:
+        if len(self.keys) == 1 and len(keys) <= FILTERED_KEYS:
             some = [k[0] for k in keys if k[0] is not None]
             found = F.col(self.keys[0]).isin(some) if some else F.lit(False)
             return rows.where(found | F.col(self.keys[0]).isNull() if len(some) < len(keys) else found)

@@ -125,7 +125,17 @@ class BaseTable:
 
 def _fold(names: list[str], key: tuple[str, ...]):
     """Plays operations, sorted by key and order, one after another; only one row is held, so a key may have any number."""
-    at, keys = {c: i for i, c in enumerate(names)}, [names.index(k) for k in key]
+    at, keys, weight = {c: i for i, c in enumerate(names)}, [names.index(k) for k in key], WEIGHT
+
+    def changed(old: Any, how: str, value: Any) -> Any:
+        if not how:
+            return old
+        if how == "=":
+            return value
+        return None if old is None or value is None else old + value if how == "+" else old - value
+
+    def framed(rows: list[list], names: list[str]) -> pd.DataFrame:
+        return pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=object) for i, c in enumerate([*names, weight])})
 
     def played(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         none = object()
@@ -152,20 +162,8 @@ def _fold(names: list[str], key: tuple[str, ...]):
                 elif op == INSERT or (op == UPSERT and now is None):
                     state["now"] = values if now is None else now
                 elif now is not None:
-                    state["now"] = [_changed(now[at[c]], h, new[at[c]]) for c, h in zip(names, how, strict=True)]
-            yield _pdf(out, names)
-        yield _pdf(done() if state["key"] is not none else [], names)
+                    state["now"] = [changed(now[at[c]], h, new[at[c]]) for c, h in zip(names, how, strict=True)]
+            yield framed(out, names)
+        yield framed(done() if state["key"] is not none else [], names)
 
     return played
-
-
-def _changed(old: Any, how: str, value: Any) -> Any:
-    if not how:
-        return old
-    if how == "=":
-        return value
-    return None if old is None or value is None else old + value if how == "+" else old - value
-
-
-def _pdf(rows: list[list], names: list[str]) -> pd.DataFrame:
-    return pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=object) for i, c in enumerate([*names, WEIGHT])})
