@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm import common
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -109,6 +111,8 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, known: DataFrame | No
     found = findings(unseen(paths.select("blob", "text"), ledger, rules), rules)
     if known is not None:
         found = found.unionByName(known.select(found.columns))
-    out = paths.select("doc_id", "blob").join(spans(found, rules), "blob", "left")
+    # stored, so that the join deals out both sides anew and a blob with very many paths can be split
+    own = common.checkpointed(spans(found, rules))
+    out = paths.select("doc_id", "blob").join(own, "blob", "left")
     zero = [F.coalesce(f"n_{r.kind}", F.lit(0).cast("long")).alias(f"n_{r.kind}") for r in rules if r.base]
     return out.select("doc_id", "blob", *zero, *(F.coalesce(c, F.lit("")).alias(c) for c in ("base", "spans")))
