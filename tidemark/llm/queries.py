@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import common, decontamination, flac, language, packing, pii, quality, secrets, simhash, toxicity, urls
+from tidemark.llm import common, decontamination, flac, language, oracles, packing, pii, quality, secrets, simhash, toxicity, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -42,7 +42,7 @@ def op2_simhash_near_duplicates(spark, sf_dir):
     return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
-@query("op5_benchmark_decontamination")
+@query("op5_benchmark_decontamination", oracles.contaminated())
 def op5_benchmark_decontamination(spark, sf_dir):
     return decontamination.contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
@@ -62,7 +62,7 @@ def op9_kneser_ney_language(spark, sf_dir):
     return language.identify(common.table(spark, sf_dir, "documents"))
 
 
-@query("op7_secret_ledger")
+@query("op7_secret_ledger", oracles.secret_spans())
 def op7_secret_ledger(spark, sf_dir):
     found = secrets.scan(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
