@@ -112,7 +112,8 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         guess += coefficients[:, i : i + 1].astype(np.int32) * x[:, LPC - 1 - i : BLOCK - 1 - i]
     tried.append((LPC, x[:, LPC:] - (guess >> shift[:, None].astype(np.int32))))
     for order, r in tried:
-        costs.append((np.abs(r) * inside[:, order:]).sum(1) + (0 if len(costs) < 3 else 60))
+        cost = (np.abs(r) * inside[:, order:]).sum(1) + (0 if len(costs) < 3 else 60)
+        costs.append(np.where(n > order, cost, 1 << 40))  # a frame has more samples than its predictor looks back
     best = np.argmin(np.stack(costs, 1), 1)
     order = np.array([0, 1, 2, LPC])[best]
     u = np.zeros((total, BLOCK), np.int32)
