@@ -98,8 +98,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, alpha: float = ALPHA, beta:
     prior = (labels.sum() + 0.5) / (len(labels) + 1) if len(labels) else 0.0
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(max(prior, 1e-3) / (1 - min(prior, 0.999)))))
-    keys, n_docs = np.unique(np.concatenate(rows), return_counts=True)
-    keys = keys[n_docs >= least_docs]
+    every = np.concatenate(rows)
+    every.sort()
+    within = max(0, len(every) - least_docs + 1)  # rows are distinct, so a hash of so many rows stands so many times in a row here
+    keys = np.unique(every[:within][every[:within] == every[least_docs - 1 :]])
+    del every
     own = []
     for r in rows:
         at = np.minimum(np.searchsorted(keys, r), max(len(keys) - 1, 0))
@@ -154,8 +157,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     got = own.mapInArrow(made, "id long, y int, f binary").toArrow()
     place = {i: k for k, (i, _) in enumerate(ids)}
     order = np.argsort([place[i] for i in got.column("id").to_pylist()], kind="stable")
-    f, y = got.column("f").to_pylist(), got.column("y").to_numpy()
-    return fit([np.frombuffer(f[i], "<u8") for i in order], y[order].astype(float))
+    y = got.column("y").to_numpy()
+    f = [np.frombuffer(x.as_buffer(), "<u8") for x in got.column("f")]  # views, not copies
+    return fit([f[i] for i in order], y[order].astype(float))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
