@@ -137,6 +137,19 @@ def test_probabilities_add_up(spark):
         assert np.allclose(total, 1, atol=0.02), total
 
 
+def test_no_n_gram_is_left_out(spark, monkeypatch):
+    """No number of n-grams is too many: those of a small language stay beside a large one, however low a limit once was set."""
+    monkeypatch.setattr(language, "MOST_CELLS", 20, raising=False)
+    big, little = "the quick brown fox jumps over the lazy dog while " * 50, "zwölf boxkämpfer"
+    docs = spark.createDataFrame([("big", big), ("little", little)], "lang string, text string")
+    model = language.build(language.counts(docs))
+    every = np.unique(language.codes([big, little])[0])
+    for n in range(1, language.ORDER + 1):
+        part = np.unique(every & np.uint64((1 << (16 * n)) - 1))
+        at = model.grams[n - 1].find(part)
+        assert len(model.grams[n - 1].keys) - 1 == len(part) and sorted(at) == list(range(len(part)))
+
+
 def test_odd_languages(spark, odd, none):
     rows = {r.doc_id: r for r in language.identify(odd).collect()}
     assert rows[1].lang_pred == rows[2].lang_pred == rows[3].lang_pred == rows[8].lang_pred == "und"

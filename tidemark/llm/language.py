@@ -1,33 +1,41 @@
 """Language identification by interpolated Kneser-Ney character models, one for each language.
 
 Letters count in lower case, and each run of anything else is one blank. Counts of 4 characters in a row over all training documents are
-summed by Spark; the lower orders' continuation counts follow from them in Spark too. What goes to the executors are arrays of
-hashed n-grams in sorted order with a row of log-probabilities for each, one column a language. The language with the lowest
+summed by Spark; the lower orders' continuation counts and all probabilities follow from them in Spark too. No n-gram is left out. What goes
+to the executors is a file that they map into memory: hashed n-grams in sorted order with a row of log-probabilities for each, one
+column a language. The driver passes it on in parts and never holds all of it. The language with the lowest
 cross-entropy a character wins; a document is accepted if that isn't above what nearly all training documents of the language have.
 """
 
 from __future__ import annotations
 
+import atexit
 import math
+import os
+import shutil
+import tempfile
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
 ORDER = 4
-#: Cells (n-grams times languages) of a model at most. Beyond, the rarest n-grams give way to their backing-off, as in pruned Kneser-Ney models.
-MOST_CELLS = 12_000_000
+#: Cells (n-grams times languages) that one task works on at once.
+CELLS_AT_ONCE = 1_000_000
 #: Training documents, first by a hash of their id, whose cross-entropies set the limits of acceptance; the share of them that is accepted.
 CALIBRATION_ROWS, ACCEPTED = 4_000, 0.995
 #: Characters whose agreement makes a score certain.
 CERTAIN = 40
 
 _U = np.uint64
+_TOP = _U(1 << 63)
 _ODD = _U(0x9E3779B97F4A7C15)
 _LETTERS: list[np.ndarray] = []
 
@@ -69,21 +77,48 @@ def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Hashed:
-    """n-grams by hash, in sorted order; first holds where each range of hashes starts."""
+    """n-grams by hash, in sorted order; first holds where each range of hashes starts. All three lie in a file, from offset on."""
 
     keys: np.ndarray
     rows: np.ndarray
-    bits: int = 0
-    first: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    bits: int
+    first: np.ndarray
+
+    @staticmethod
+    def shapes(size: int, wide: int) -> list[tuple[type, tuple[int, ...]]]:
+        """Of keys, rows and first, for size n-grams."""
+        return [(np.uint64, (size + 1,)), (np.float32, (size + 1, wide)), (np.int64, ((1 << Hashed.bits_of(size)) + 1,))]
+
+    @staticmethod
+    def bits_of(size: int) -> int:
+        return max(8, size.bit_length() + 1)
+
+    @classmethod
+    def at(cls, path: str, offset: int, size: int, wide: int, mode: str = "r") -> Hashed:
+        arrays = []
+        for kind, shape in cls.shapes(size, wide):
+            arrays.append(np.asarray(np.memmap(path, kind, mode, offset, shape)))
+            offset += arrays[-1].nbytes
+        return cls(arrays[0], arrays[1], cls.bits_of(size), arrays[2])
 
     @classmethod
-    def of(cls, grams: np.ndarray, rows: np.ndarray) -> Hashed:
-        keys = grams.astype(np.uint64) * _ODD
-        order = np.argsort(keys)
-        bits = max(8, int(len(keys)).bit_length() + 2)
-        keys = keys[order]
-        first = np.searchsorted(keys >> _U(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
-        return cls(np.append(keys, _U(0)), np.vstack([rows[order], np.zeros((1, rows.shape[1]), rows.dtype)]), bits, first)
+    def write(cls, path: str, hashed: DataFrame, size: int, wide: int) -> int:
+        """Appends hashed (h, row), whose size is known, to the file; its offset there."""
+        offset = os.path.getsize(path)
+        with open(path, "r+b") as f:
+            f.truncate(offset + sum(np.dtype(kind).itemsize * math.prod(shape) for kind, shape in cls.shapes(size, wide)))  # zeros: the last row stays so
+        own, done = cls.at(path, offset, size, wide, "r+"), 0
+        for r in hashed.orderBy("h").mapInArrow(_packed, "h binary, row binary").toLocalIterator(prefetchPartitions=True):
+            keys = np.frombuffer(r.h, np.int64).view(np.uint64) ^ _TOP
+            own.keys[done : done + len(keys)] = keys
+            own.rows[done : done + len(keys)] = np.frombuffer(r.row, np.float32).reshape(-1, wide)
+            done += len(keys)
+        assert done == size, (done, size)
+        for k in range(0, 1 << own.bits, CELLS_AT_ONCE):
+            some = np.arange(k, min(k + CELLS_AT_ONCE, 1 << own.bits), dtype=np.uint64)
+            own.first[k : k + len(some)] = np.searchsorted(own.keys[:-1], some << _U(64 - own.bits))
+        own.first[-1] = size
+        return offset
 
     def find(self, grams: np.ndarray) -> np.ndarray:
         """The rows' numbers; the last, a row of zeros, where there's none."""
@@ -91,7 +126,7 @@ class Hashed:
         near = (h >> _U(64 - self.bits)).astype(np.int64)
         at, end = self.first[near], self.first[near + 1]
         none = len(self.keys) - 1
-        out = np.full(len(h), none, np.int32)
+        out = np.full(len(h), none, np.int64)
         todo = np.nonzero(at < end)[0]
         at = at[todo]
         while len(todo):
@@ -103,6 +138,37 @@ class Hashed:
         return out
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each batch."""
+    for b in batches:
+        if b.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array([b.column("h").to_numpy().tobytes()], pa.binary()), pa.array([b"".join(b.column("row").to_pylist())], pa.binary())], names=["h", "row"])
+
+
+@dataclass
+class Stored:
+    """A model in a file; grams and contexts: offset and size by order from 1. limits: cross-entropy above which a language isn't accepted."""
+
+    languages: list[str]
+    path: str
+    grams: list[tuple[int, int]]
+    contexts: list[tuple[int, int]]
+    floor: np.ndarray
+    limits: np.ndarray
+    sent: bool = False
+
+    def open(self) -> Model:
+        """The model from the file, on the driver or, once sent, on an executor."""
+        path = SparkFiles.get(os.path.basename(self.path)) if self.sent else self.path
+        grams, contexts = ([Hashed.at(path, *x, len(self.languages)) for x in part] for part in (self.grams, self.contexts))
+        return Model(self.languages, grams, contexts, self.floor, self.limits)
+
+    def send(self, spark: SparkSession) -> None:
+        if self.languages and not self.sent:
+            spark.sparkContext.addFile(self.path)
+            self.sent = True
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -175,84 +241,114 @@ def counts(docs: DataFrame) -> DataFrame:
 
 
 def build(grams: DataFrame) -> Model:
-    """The models from counts(): continuation counts by Spark, probabilities from what is left after pruning."""
+    """The models from counts()."""
+    return store(grams).open()
+
+
+def store(grams: DataFrame) -> Stored:
+    """The models from counts(): continuation counts and probabilities by Spark, order by order, written to a file of the driver."""
+    spark = grams.sparkSession
+    common.shipped(spark)
     grams = common.checkpointed(grams)
     languages = sorted(r[0] for r in grams.select("lang").distinct().collect())
     if not languages:
-        return Model([], [], [], np.zeros(0), np.zeros(0))
-    least, most = 1, MOST_CELLS // len(languages)
-    while (sizes := grams.where(F.col("n") >= least).count()) > most:
-        least *= 2
-    tables, level = [], grams
-    for n in range(ORDER, 0, -1):
-        if n < ORDER:
-            level = level.select("lang", F.col("gram").bitwiseAND(F.lit((1 << (16 * n)) - 1)).alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
-        kept = level.where(F.col("n") >= least) if sizes and n == ORDER else level
-        ones = {r.lang: (r.a, r.b) for r in level.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("a"), F.count_if(F.col("n") == 2).alias("b")).collect()}
-        got = kept.toArrow()
-        contexts = level.groupBy("lang", F.shiftrightunsigned("gram", 16).alias("context")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).toArrow()
-        tables.append((got, contexts, ones))
-    return _model(languages, tables[::-1])
-
-
-def _model(languages: list[str], tables: list) -> Model:
-    wide, number = len(languages), {x: k for k, x in enumerate(languages)}
-    alphabet = {g for t in tables[:1] for g in t[0].column("gram").to_pylist()}
-    floor = np.full(wide, -math.log(len(alphabet) + 1), np.float64)
-    grams: list[Hashed] = []
-    contexts: list[Hashed] = []
-    whole: list[tuple[np.ndarray, np.ndarray]] = []  # sorted n-grams, probabilities
-
-    def lower(part: np.ndarray, n: int) -> np.ndarray:
-        """Probabilities at order n in all languages."""
-        if n == 0:
-            return np.broadcast_to(np.exp(floor), (len(part), wide))
-        keys, p = whole[n - 1]
-        at = np.minimum(np.searchsorted(keys, part), len(keys) - 1)
-        out = p[at].copy()
-        miss = keys[at] != part
-        if miss.any():
-            ck, left = left_over[n - 1]
-            c = part[miss] >> _U(16)
-            ca = np.minimum(np.searchsorted(ck, c), len(ck) - 1)
-            out[miss] = np.where((ck[ca] == c)[:, None], left[ca], 1.0) * lower(part[miss] & _U((1 << (16 * (n - 1))) - 1), n - 1)
-        return out
+        return Stored([], "", [], [], np.zeros(0), np.zeros(0))
+    wide = len(languages)
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="tidemark-language-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, f"language-{uuid.uuid4().hex}")
+    open(path, "wb").close()
+    number = F.broadcast(spark.createDataFrame(list(enumerate(languages)), "k int, lang string"))
+    levels = [grams.join(number, "lang").select("k", "gram", "n")]
+    for n in range(ORDER - 1, 0, -1):
+        levels.insert(0, common.checkpointed(levels[0].select("k", F.col("gram").bitwiseAND(F.lit((1 << (16 * n)) - 1)).alias("gram")).groupBy("k", "gram").agg(F.count(F.lit(1)).alias("n"))))
+    # a character never seen has as much of what the lowest order leaves as each that was seen
+    floor = np.full(wide, -math.log(levels[0].select("gram").distinct().count() + 1), np.float64)
+    grams_at, contexts_at, lower = [], [], None
+    for n, level in enumerate(levels, 1):
+        ones = {r.k: (r.a, r.b) for r in level.groupBy("k").agg(F.count_if(F.col("n") == 1).alias("a"), F.count_if(F.col("n") == 2).alias("b")).collect()}
+        discount = np.array([min(0.95, max(0.1, a / (a + 2 * b))) if a + b else 0.5 for a, b in (ones.get(x, (0, 0)) for x in range(wide))])
+        contexts = level.groupBy("k", F.shiftrightunsigned("gram", 16).alias("context")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
+        contexts = common.checkpointed(contexts.groupBy("context").agg(F.collect_list(F.struct("k", "n", "kinds")).alias("c")))
+        left = contexts.select(F.col("context").alias("gram"), "c").mapInArrow(_left(wide, discount), "h long, row binary")
+        own = level.groupBy("gram").agg(F.collect_list(F.struct("k", "n")).alias("g")).withColumn("context", F.shiftrightunsigned("gram", 16)).join(contexts, "context")
+        if lower is None:
+            own = own.withColumn("lower", F.lit(np.exp(floor).tobytes()))
+            floor = floor + np.frombuffer(left.first().row, np.float32).astype(np.float64)  # of the one context, the empty
+        else:  # each n-gram's last n - 1 characters are one of the order below
+            own = own.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << (16 * (n - 1))) - 1))).join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), "suffix")
+        lower = common.checkpointed(own.select("gram", "g", "c", "lower").mapInArrow(_mixed(wide, discount), "gram long, h long, p binary, row binary"))
+        size = lower.count()
+        grams_at.append((Hashed.write(path, lower.select("h", "row"), size, wide), size))
+        size = contexts.count()
+        contexts_at.append((Hashed.write(path, left, size, wide), size))
+    return Stored(languages, path, grams_at, contexts_at, floor, np.full(wide, np.inf))
+
+
+def _hashes(grams: pa.Array) -> pa.Array:
+    """As signed numbers in the order of the unsigned ones."""
+    return pa.array((grams.to_numpy().astype(np.uint64) * _ODD ^ _TOP).view(np.int64))
+
+
+def _few(batches: Iterator[pa.RecordBatch], wide: int) -> Iterator[pa.RecordBatch]:
+    step = max(1, CELLS_AT_ONCE // wide)
+    for b in batches:
+        for k in range(0, b.num_rows, step):
+            yield b.slice(k, step)
+
+
+def _dense(column: pa.Array, wide: int, *names: str) -> list[np.ndarray]:
+    """Lists of (k, named fields) as arrays of a row for each list and a column for each k."""
+    at, flat = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy())), column.flatten()
+    out = [np.zeros((len(column), wide)) for _ in names]
+    for x, name in zip(out, names, strict=True):
+        x[at, flat.field("k").to_numpy()] = flat.field(name).to_numpy()
+    return out
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in rows], pa.binary())
+
+
+def _left(wide: int, discount: np.ndarray):
+    """(h, row): log of what contexts (gram, c) leave to the lower order."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _few(batches, wide):
+            total, kinds = _dense(b.column("c"), wide, "n", "kinds")
+            left = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
+            yield pa.RecordBatch.from_arrays([_hashes(b.column("gram")), _binary(np.log(left).astype(np.float32))], names=["h", "row"])
+
+    return made
+
+
+def _mixed(wide: int, discount: np.ndarray):
+    """(gram, h, p, row): probabilities in all languages and their logs, from counts g, those of the context c, and probabilities at the order below."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _few(batches, wide):
+            (seen,), (total, kinds) = _dense(b.column("g"), wide, "n"), _dense(b.column("c"), wide, "n", "kinds")
+            lower = np.frombuffer(b"".join(b.column("lower").to_pylist())).reshape(-1, wide)
+            left = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
+            p = np.maximum(seen - discount, 0) / np.maximum(total, 1) + left * lower
+            yield pa.RecordBatch.from_arrays([b.column("gram"), _hashes(b.column("gram")), _binary(p), _binary(np.log(p).astype(np.float32))], names=["gram", "h", "p", "row"])
+
+    return made
+
 
-    left_over: list[tuple[np.ndarray, np.ndarray]] = []
-    for n, (got, context, ones) in enumerate(tables, 1):
-        discount = np.array([min(0.95, max(0.1, a / (a + 2 * b))) if a + b else 0.5 for a, b in (ones.get(x, (0, 0)) for x in languages)])
-        ck, cat = np.unique(context.column("context").to_numpy().astype(np.uint64), return_inverse=True)
-        cl = np.array([number[x] for x in context.column("lang").to_pylist()])
-        total, kinds = np.zeros((len(ck), wide)), np.zeros((len(ck), wide))
-        total[cat, cl], kinds[cat, cl] = context.column("n").to_numpy(), context.column("kinds").to_numpy()
-        left = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
-        left_over.append((ck, left))
-        gk, gat = np.unique(got.column("gram").to_numpy().astype(np.uint64), return_inverse=True)
-        gl = np.array([number[x] for x in got.column("lang").to_pylist()])
-        seen = np.zeros((len(gk), wide))
-        seen[gat, gl] = got.column("n").to_numpy()
-        own = np.searchsorted(ck, gk >> _U(16))
-        p = np.maximum(seen - discount, 0) / np.maximum(total[own], 1) + left[own] * lower(gk & _U((1 << (16 * (n - 1))) - 1), n - 1)
-        whole.append((gk, p))
-        grams.append(Hashed.of(gk, np.log(p).astype(np.float32)))
-        contexts.append(Hashed.of(ck, np.log(left).astype(np.float32)))
-        if n == 1:
-            floor = np.log(left[0] * np.exp(floor))
-    return Model(languages, grams, contexts, floor, np.full(wide, np.inf))
-
-
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Stored:
     """Models of the languages of documents whose crc32 of the id modulo 4 isn't 2 and whose language isn't null."""
     own = docs.where(F.col(lang_col).isNotNull() & (common.crc_mod(id_col, 4) != 2))
     own = own.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    model = build(counts(own.where("text is not null")))
+    model = store(counts(own.where("text is not null")))
+    model.send(docs.sparkSession)
     if model.languages:
         ids = own.select("id").orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS)
         some = own.join(F.broadcast(ids.distinct()), "id").select("lang", "text")
         shared = docs.sparkSession.sparkContext.broadcast(model)
 
         def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = shared.value
+            m = shared.value.open()
             for b in common.slices(batches):
                 total, n, letters = m.totals(common.texts(b))
                 at = [m.languages.index(x) for x in b.column("lang").to_pylist()]
@@ -275,7 +371,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = shared.value.open()
         for b in common.slices(batches):
             lang, score, entropy, ok = m.predict(common.texts(b))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(lang, pa.string()), pa.array(score), pa.array(entropy), pa.array(ok)], names=["doc_id", "held_out", "lang_pred", "score", "cross_entropy", "accepted"])
