@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -38,6 +39,14 @@ def test_known_shapes():
     assert [k for _, k, _ in pii.base_spans(text)] == [0, 2, 3, 1]
 
 
+def test_texts_with_spelled_emails_alone_are_searched():
+    """Also where nothing but the address itself, without digit, @ or title, says that there may be a span."""
+    model = pii.Model(np.full((len(pii.EXTRA), 9), 9.0), np.zeros((len(pii.EXTRA), 4)))
+    for address in ("jane [at] example [dot] com", "jane (at) example (dot) com", "jane at example dot com", "jane [at]example[dot]com"):
+        assert [(address, k) for _, k, _ in pii.find(address, model)] == [(address, pii.KINDS.index("spelled_email"))]
+        assert pii.redact(f"write to\n{address}\nsoon", model) == pii.redact(f"write to\n{address}\nsoon 1", model)[:-2] != f"write to\n{address}\nsoon"
+
+
 def test_whole_table(spark, tiny):
     docs = common.table(spark, tiny, "documents")
     texts = {r.doc_id: r.text or "" for r in docs.collect()}

@@ -32,12 +32,12 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_ANY = re.compile(r"[0-9@]|\b(?:[Mm](?:rs?|s|me|adame)|[Dd]r|[Pp]rof|[Ss]ra?|Herrn?|Frau|Monsieur)\b")
+_ANY = re.compile(r"[0-9@]|\bdot\b|\b(?:[Mm](?:rs?|s|me|adame)|[Dd]r|[Pp]rof|[Ss]ra?|Herrn?|Frau|Monsieur)\b")
 
 
 def _any(text: str) -> bool:
     """Whether the text can hold a span at all."""
-    return " dot " in text or _ANY.search(text) is not None
+    return _ANY.search(text) is not None
 
 
 def _luhn(digits: str) -> bool:
