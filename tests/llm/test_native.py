@@ -97,6 +97,14 @@ def test_url_models_separate(spark):
     assert all(got[2000 + i] == "block" and got[3000 + i] == "allow" for i in range(20))
 
 
+def test_url_models_see_digits_and_queries(spark):
+    """URLs that differ in a digit or the query alone get scores of their own."""
+    rows = [(i, f"http://a{i}.com/en/{i}?spam=1") for i in range(50)] + [(100 + i, f"http://b{i}.net/de/{i}?poem=2") for i in range(50)]
+    rows += [(200 + i, f"https://site.info/page{tail}") for i, tail in enumerate(("?spam=1", "?poem=2", "?poem=1", "#poem"))]
+    got = {r.page_id: r.score for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert len({got[200 + i] for i in range(4)}) == 4 and got[201] > got[202] and got[201] > got[200]
+
+
 def test_odd_urls(spark):
     pages = spark.createDataFrame([(1, None, "x"), (None, "http://a.com/en/", "x"), (2, "http://a.com/en/", "x"), (2, "http://a.com/en/", "x")], "page_id long, url string, text string")
     rows = urls.judge(pages).collect()

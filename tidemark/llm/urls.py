@@ -88,12 +88,13 @@ def limit(scored: DataFrame) -> float:
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for every page; score is the length-normalised difference of log-likelihoods.
 
-    A null URL or one without :// has empty host and path, and is judged as such. Where no URL is ruled, all scores and the limit are 0, and
+    The models see whole URLs as they are, with scheme, query, fragment and all digits. A null URL or one without :// has empty host and path; a
+    null one is scored as the empty text. Where no URL is ruled, all scores and the limit are 0, and
     a score equal to the limit allows. Null and repeated ids are kept. No pages: no rows. Further columns are left out.
     """
     host, path = parts(F.col("__tm_url"))
-    own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("__tm_url")).select("page_id", host.alias("host"), path.alias("path"))
-    own = own.withColumn("k", ruled(F.col("host"), F.col("path"), rules)).withColumn("text", F.translate(F.concat("host", "path"), "123456789", "000000000"))
+    own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("__tm_url")).select("page_id", host.alias("host"), path.alias("path"), F.coalesce("__tm_url", F.lit("")).alias("text"))
+    own = own.withColumn("k", ruled(F.col("host"), F.col("path"), rules))
     allow = [k for k, r in enumerate(rules) if r.verdict == "allow"]
     texts = common.checkpointed(own.groupBy("text").agg(F.count_if(F.col("k").isin(allow)).alias("a"), F.count_if(F.col("k").isNotNull() & ~F.col("k").isin(allow)).alias("r")))
     test = F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(5)) == 0
