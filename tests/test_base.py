@@ -77,3 +77,48 @@ def test_columns_come_and_go(spark):
     assert t.rows.columns == ["x", "z", "w"]
     with pytest.raises(ValueError):
         t.drop_column("x")
+
+
+def test_values_stay_as_they_are(spark):
+    """Whole numbers beyond a double's reach, NaN, decimals and times, also in rows of which another column changes."""
+    import datetime as dt
+    from decimal import Decimal
+
+    t = BaseTable(spark, "t", "id int, v bigint, d double, m decimal(20,2), at timestamp_ntz, b boolean", ["id"])
+    wide, nan, at = 9007199254740993, float("nan"), dt.datetime(2020, 2, 29, 1, 2, 3, 4)
+    t.perform([insert(id=1, v=wide, d=nan, m=Decimal("123456789012345678.25"), at=at, b=True), insert(id=2, v=wide + 2), insert(id=3, v=wide, d=1.5)])
+    change = t.perform([update(1, b=False), delete(3), update(2, v=("+", 2), m=("=", Decimal("0.10"))), update(2, m=("-", Decimal("0.05")))])
+    got = {r.id: r for r in t.rows.collect()}
+    assert got[1].v == wide and got[1].d != got[1].d and got[1].m == Decimal("123456789012345678.25") and got[1].at == at and got[1].b is False
+    assert got[2].v == wide + 4 and got[2].d is None and got[2].m == Decimal("0.05") and 3 not in got and change.count() == 5
+    assert t.perform([update(1, d=nan)]).count() == 0
+    plan = t.rows._jdf.queryExecution().executedPlan().toString() + change._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "Python" not in plan
+
+
+def test_settings_and_additions_in_any_order(spark):
+    rng, t, want = random.Random(8), BaseTable(spark, "t", "id int, v int, w int", ["id"]), {}
+    for _ in range(4):
+        batch = []
+        for _ in range(25):
+            key, c, v = rng.randint(0, 3), rng.choice("vw"), rng.choice([1, 2, 5, None])
+            kind = rng.choice(["insert", "delete", "set", "+", "-", "upsert"])
+            if kind == "insert":
+                batch.append(insert(id=key, v=v, w=0))
+                want.setdefault(key, {"v": v, "w": 0})
+            elif kind == "delete":
+                batch.append(delete(key))
+                want.pop(key, None)
+            elif kind == "upsert":
+                batch.append(insert_or_update({"id": key, "v": 9, "w": v}, **{c: ("+", v)}))
+                if key in want:
+                    want[key][c] = None if v is None or want[key][c] is None else want[key][c] + v
+                else:
+                    want[key] = {"v": 9, "w": v}
+            else:
+                batch.append(update(key, **{c: v if kind == "set" else (kind, v)}))
+                if key in want:
+                    old = want[key][c]
+                    want[key][c] = v if kind == "set" else None if v is None or old is None else old + v if kind == "+" else old - v
+        t.perform(batch)
+        assert {r.id: {"v": r.v, "w": r.w} for r in t.rows.collect()} == want

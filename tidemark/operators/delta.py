@@ -17,22 +17,7 @@ from pyspark.sql import types as T
 
 from tidemark.operators import relational as rel
 from tidemark.operators.relational import WEIGHT, Aggregate, Condition
-from tidemark.sources.layers import Layers, matching, stored
-
-
-def signed(df: DataFrame, weight: int = 1) -> DataFrame:
-    return df.withColumn(WEIGHT, F.lit(weight).cast("long"))
-
-
-def consolidated(change: DataFrame) -> DataFrame:
-    """Equal rows as one, their weights added; what cancels out goes."""
-    names = [c for c in change.columns if c != WEIGHT]
-    return change.groupBy(*names).agg(F.sum(F.col(WEIGHT).cast("long")).alias(WEIGHT)).where(F.col(WEIGHT) != 0)
-
-
-def expanded(change: DataFrame) -> DataFrame:
-    """Each row as often as its weight says; rows of no positive weight go."""
-    return change.where(F.col(WEIGHT) > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(WEIGHT)))).drop("__copy", WEIGHT)
+from tidemark.sources.store import BAG, KEYED, Scratch, State, Store, consolidated, matching, signed
 
 
 def difference(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -67,10 +52,19 @@ class Node:
 class Step:
     """All sources before and after a batch of changes, and the changes; what nodes make of them, each once."""
 
-    def __init__(self, before: Mapping[str, DataFrame], after: Mapping[str, DataFrame], changes: Mapping[str, DataFrame], states: Mapping[Node, Layers] | None = None):
-        self.tables, self.changes, self.states = {"before": before, "after": after}, changes, states or {}
+    def __init__(self, before: Mapping[str, DataFrame], after: Mapping[str, DataFrame], changes: Mapping[str, DataFrame], states: Mapping[Node, Store] | None = None, folder: str | None = None):
+        self.tables, self.changes, self.states, self.folder = {"before": before, "after": after}, changes, states or {}, folder
+        self.scratch: Scratch | None = None
         self.made: dict = {}
-        self.updates: list[tuple[Layers, DataFrame, DataFrame]] = []
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        """df, stored until the step ends."""
+        self.scratch = self.scratch or Scratch(df.sparkSession, self.folder)
+        return self.scratch.stored(df)
+
+    def end(self) -> None:
+        if self.scratch is not None:
+            self.scratch.clear()
 
     def rows(self, node: Node, when: str) -> DataFrame:
         if (node, when) not in self.made:
@@ -173,7 +167,7 @@ class Join(Node):
         if self.how == "left":
             pairs = [(o, o) if isinstance(o, str) else o for o in self.on]
             theirs = [b for _, b in pairs]
-            keys = stored(_keys(changed_right, theirs).dropna())
+            keys = step.stored(_keys(changed_right, theirs).dropna())
             number = lambda when, n: matching(step.rows(self.right, when), keys, theirs).groupBy(*theirs).agg(F.count(F.lit(1)).alias(n))
             counted = keys.join(number("before", "b"), theirs, "left").join(number("after", "a"), theirs, "left").fillna(0, ["a", "b"])
             turned = counted.where((F.col("b") > 0) != (F.col("a") > 0)).withColumn(WEIGHT, F.when(F.col("a") > 0, -1).otherwise(1).cast("long")).select(*theirs, WEIGHT)
@@ -248,7 +242,7 @@ class Grouped(Recomputed):
 
     def _shown(self, state: DataFrame) -> DataFrame:
         kinds = self.batch(state.sparkSession.createDataFrame([], self.of)).schema
-        return state.select(*self.by, *(self._value(i, a).cast(kinds[a.name].dataType).alias(a.name) for i, a in enumerate(self.aggregates)))
+        return state.select(*self.by, *(self._value(i, a).cast(kinds[a.name].dataType).alias(a.name) for i, a in enumerate(self.aggregates)), WEIGHT)
 
     @staticmethod
     def _value(i: int, a: Aggregate) -> Column:
@@ -260,17 +254,15 @@ class Grouped(Recomputed):
     def change(self, step):
         if self not in step.states:
             return super().change(step)
-        layers, self.of = step.states[self], step.rows(self.source, "after").schema
-        more = stored(self._sums(step.change(self.source)))
-        keys = more.select(*self.by)
-        old = matching(layers.rows, keys, self.by)
-        sums = [c for c in more.columns if c not in self.by]
-        kinds = layers.rows.schema
+        store, self.of = step.states[self], step.rows(self.source, "after").schema
+        more = self._sums(step.change(self.source))
+        if store.state.buckets > 1:
+            more = step.stored(more)
+        old = matching(store.of(store.touched(more)), more, self.by)
+        sums, kinds = [c for c in more.columns if c not in self.by], store.state.schema
         new = old.unionByName(more).groupBy(*self.by).agg(*(F.sum(c).cast(kinds[c].dataType).alias(c) for c in sums))
-        new = stored(new.where(F.col("__n") > 0) if self.by else new)
-        step.updates.append((layers, keys, new))
-        return difference(self._shown(old), self._shown(new))
-
+        both = store.write(difference(old, new.where(F.col("__n") > 0) if self.by else new))
+        return self._shown(both)
 
 @dataclass(eq=False)
 class Rewrite(Node):
@@ -300,34 +292,33 @@ class Rewrite(Node):
 class MaintainedView:
     """A node's rows, kept current by steps. changed is what the last step changed."""
 
-    def __init__(self, node: Node, tables: Mapping[str, DataFrame], folder: str | None = None):
+    def __init__(self, node: Node, tables: Mapping[str, DataFrame], folder: str | None = None, states: Sequence[State] | None = None):
+        """states: those of a view made before, as states() gives them, instead of computing all anew."""
         step = Step(tables, tables, {})
-        self.node, self.folder, self.states = node, folder, {}
+        self.node, self.folder, self.states, given = node, folder, {}, list(states or ())
         for n in self._nodes(node):
-            if isinstance(n, Grouped) and n.keeps(rows := step.rows(n.source, "after")):
-                self.states[n] = Layers(stored(n.state(rows), folder), n.by, folder)
-        rows = stored(step.rows(node, "after"), folder)
-        self.layers = Layers(rows, rows.columns, folder)
-        self.changed = signed(rows)
+            if isinstance(n, Grouped) and n not in self.states and n.keeps(rows := step.rows(n.source, "after")):
+                self.states[n] = Store(n.state(rows), KEYED, n.by, None, folder, own=True, state=given.pop(0) if given else None)
+        self.store = Store(step.rows(node, "after"), BAG, (), None, folder, own=True, state=given.pop(0) if given else None)
+        self.changed = signed(self.store.rows)
 
     def _nodes(self, node: Node) -> list[Node]:
         return [node, *(m for n in node.inputs() for m in self._nodes(n))]
 
+    def stores(self) -> list[Store]:
+        return [*self.states.values(), self.store]
+
     @property
     def rows(self) -> DataFrame:
-        return self.layers.rows
+        return self.store.rows
 
     def apply(self, before: Mapping[str, DataFrame], after: Mapping[str, DataFrame], changes: Mapping[str, DataFrame]) -> DataFrame:
         """Takes in changes of sources; returns the view's own signed rows."""
-        step = Step(before, after, changes, self.states)
-        names = self.rows.columns
-        self.changed = stored(consolidated(step.change(self.node)).select(*names, WEIGHT), self.folder)
-        touched = self.changed.select(*names)
-        there = signed(matching(self.rows, touched, names)).unionByName(self.changed)
-        now = expanded(consolidated(there)).select(*names)
-        self.layers.replace(touched, now)
-        for layers, keys, rows in step.updates:
-            layers.replace(keys, rows)
+        step = Step(before, after, changes, self.states, self.folder)
+        try:
+            self.changed = self.store.write(consolidated(step.change(self.node)))
+        finally:
+            step.end()
+        for s in self.stores():
+            s.settle()
         return self.changed
-
-

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import delta as D
@@ -10,6 +13,7 @@ from tidemark.operators.relational import Aggregate, Compare, In
 from tidemark.plans.engine import NONE, PARTIAL, Engine
 from tidemark.plans.security import Policies, Universe
 from tidemark.sources.base import BaseTable
+from tidemark.sources.store import shared
 from tidemark.sources.tables import table
 
 QUERIES: dict = {}
@@ -261,6 +265,28 @@ def param_topk(spark, sf_dir):
     return _engine(spark, sf_dir, "orders").create_view("v", "SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey = ? ORDER BY o_totalprice DESC, o_orderkey LIMIT 2").multi_lookup([(3,), (17,)])
 
 
+@query("param_offset", "SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey IN (3, 17) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) BETWEEN 2 AND 4")
+def param_offset(spark, sf_dir):
+    return _engine(spark, sf_dir, "orders").create_view("v", "SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey = ? ORDER BY o_totalprice DESC, o_orderkey LIMIT 3 OFFSET 1").multi_lookup([(3,), (17,)])
+
+
+@query("text_literals", "SELECT c_custkey, 'x = NULL and group_concat(y)' AS note FROM customer WHERE c_name <> 'a = NULL' AND c_custkey IS NOT NULL")
+def text_literals(spark, sf_dir):
+    return _engine(spark, sf_dir, "customer").create_view("v", "SELECT c_custkey, 'x = NULL and group_concat(y)' AS note FROM customer WHERE c_name <> 'a = NULL' AND c_custkey != NULL").scan()
+
+
+@query("group_concat_nested", "SELECT r_name, string_agg(DISTINCT n_name || '(' || CAST(n_nationkey AS VARCHAR), ', ' ORDER BY n_name || '(' || CAST(n_nationkey AS VARCHAR)) AS names FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def group_concat_nested(spark, sf_dir):
+    return _engine(spark, sf_dir, "nation", "region").create_view("v", "SELECT r_name, GROUP_CONCAT(CONCAT(n_name, '(', n_nationkey), ', ') AS names FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name").scan()
+
+
+@query("view_over_alias", "SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY o_custkey")
+def view_over_alias(spark, sf_dir):
+    engine = _engine(spark, sf_dir, "orders")
+    engine.extend("VIEW dear: SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 1000; VIEW same: SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 1000; QUERY n: SELECT o_custkey, COUNT(*) AS n FROM same GROUP BY o_custkey;")
+    return engine.view("n").scan()
+
+
 @query("param_partial", "SELECT c_name, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey IN (4, 9)")
 def param_partial(spark, sf_dir):
     view = _engine(spark, sf_dir, "orders", "customer").create_view("v", "SELECT c_name, o_orderkey FROM orders, customer WHERE o_custkey = c_custkey AND c_nationkey = ?", PARTIAL)
@@ -382,6 +408,32 @@ def base_upsert(spark, sf_dir):
     return base.rows
 
 
+@query("base_update", """WITH t AS (SELECT o_orderkey, o_custkey, o_orderkey + 9007199254740993 AS wide, CAST(o_totalprice AS DECIMAL(18,2)) AS price, CASE WHEN o_orderkey % 5 = 1 THEN 'nan'::DOUBLE WHEN o_orderkey % 5 = 2 THEN NULL ELSE o_totalprice END AS d, o_orderdate FROM orders)
+    SELECT o_orderkey, CASE WHEN k = 3 THEN 7 ELSE o_custkey END AS o_custkey, CASE WHEN k = 3 THEN wide + 5 WHEN k = 6 THEN 11 ELSE wide END AS wide, CASE WHEN k = 3 THEN price - 0.25 ELSE price END AS price,
+        CASE WHEN k = 4 THEN NULL ELSE d END AS d, CASE WHEN k = 6 THEN NULL ELSE o_orderdate END AS o_orderdate FROM (SELECT *, o_orderkey % 8 AS k FROM t) WHERE k <> 5""")
+def base_update(spark, sf_dir):
+    """Set, Add, Sub, delete and a new start after a delete, several operations a key, on bigints beyond a double's reach, NaN, decimals and dates."""
+    orders, nothing = table(spark, sf_dir, "orders"), F.lit(None)
+    kind = F.col("o_orderkey") % 5
+    rows = orders.select("o_orderkey", "o_custkey", (F.col("o_orderkey") + F.lit(9007199254740993)).alias("wide"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"), F.when(kind == 1, F.lit(float("nan"))).when(kind != 2, F.col("o_totalprice")).alias("d"), "o_orderdate")
+    base = BaseTable(spark, "orders", rows.schema, ["o_orderkey"], rows=rows)
+    names, k = rows.columns, F.col("o_orderkey") % 8
+
+    def ops(when, op, seq, **changes):
+        """An operation for each of some keys; changes: column to how and value."""
+        own = rows.where(when)
+        values = [changes.get(c, ("", nothing))[1].cast(rows.schema[c].dataType).alias(f"_new_{c}") for c in names]
+        return own.select(F.lit(seq).cast("long").alias("_seq"), F.lit(op).alias("_op"), *names, *values, F.array(*(F.lit(changes.get(c, ("",))[0]) for c in names)).alias("_how"))
+
+    parts = [
+        ops(k == 3, "update", 0, wide=("+", F.lit(100))), ops(k == 3, "update", 1, wide=("=", F.col("wide"))), ops(k == 3, "update", 2, wide=("+", F.lit(8)), price=("-", F.lit(0.25)), o_custkey=("=", F.lit(7))), ops(k == 3, "update", 3, wide=("-", F.lit(3))),
+        ops(k == 4, "update", 0, d=("+", nothing)), ops(k == 5, "delete", 0), ops(k == 5, "update", 1, o_custkey=("=", F.lit(1))), ops(k == 2, "delete", 0), ops(k == 2, "insert", 1), ops(k == 2, "insert", 2, wide=("=", F.lit(0))),
+        ops(k == 6, "upsert", 0, wide=("=", F.lit(11)), o_orderdate=("=", nothing)), ops(k == 7, "insert", 0, wide=("=", F.lit(0))),
+    ]
+    base.perform_frame(reduce(lambda a, b: a.unionByName(b), parts), {"wide", "price", "d"})
+    return base.rows
+
+
 @query("ivm_sql_join", f"{_WRITTEN} SELECT o_orderkey, c_name FROM orders JOIN written ON o_custkey = c_custkey WHERE c_nationkey > 10")
 def ivm_sql_join(spark, sf_dir):
     return _sql_kept(spark, sf_dir, "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey > 10")
@@ -402,3 +454,72 @@ def _sql_kept(spark, sf_dir, sql: str):
     view = engine.create_view("v", sql)
     engine.write_rows("customer", _writes(rows))
     return view.scan()
+
+
+@query("ivm_sql_outer", f"{_WRITTEN} SELECT o_orderkey, c_name FROM orders LEFT JOIN written ON o_custkey = c_custkey")
+def ivm_sql_outer(spark, sf_dir):
+    return _sql_kept(spark, sf_dir, "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON orders.o_custkey = customer.c_custkey")
+
+
+@query("ivm_sql_having", f"{_WRITTEN} SELECT c_nationkey, count(*) AS n FROM written GROUP BY c_nationkey HAVING count(*) > 5")
+def ivm_sql_having(spark, sf_dir):
+    return _sql_kept(spark, sf_dir, "SELECT c_nationkey, COUNT(*) AS n FROM customer GROUP BY c_nationkey HAVING COUNT(*) > 5")
+
+
+@query("ivm_sql_union", f"{_WRITTEN} SELECT c_custkey AS k FROM written UNION ALL SELECT o_custkey FROM orders")
+def ivm_sql_union(spark, sf_dir):
+    return _sql_kept(spark, sf_dir, "SELECT c_custkey AS k FROM customer UNION ALL SELECT o_custkey FROM orders")
+
+
+@query("ivm_sql_distinct", f"{_WRITTEN} SELECT DISTINCT c_nationkey FROM written WHERE c_nationkey > 3")
+def ivm_sql_distinct(spark, sf_dir):
+    return _sql_kept(spark, sf_dir, "SELECT DISTINCT c_nationkey FROM customer WHERE c_nationkey > 3")
+
+
+@query("universe_kept", f"{_WRITTEN} SELECT c_custkey, CASE WHEN c_nationkey > 20 THEN 'masked' ELSE c_name END AS c_name, c_nationkey FROM written WHERE (c_nationkey < 30 OR c_custkey = 7) AND NOT c_nationkey = 4")
+def universe_kept(spark, sf_dir):
+    """A user's universe as views of the engine, kept while customers are written."""
+    engine = Engine(spark)
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    engine.create_table("customer", rows.schema, ["c_custkey"], rows=rows)
+    policies = {"policies": [{"table": "customer", "predicate": "WHERE c_nationkey < 30"}, {"table": "customer", "predicate": "WHERE c_custkey = UserContext.id"}, {"table": "customer", "predicate": "WHERE c_nationkey = 4", "action": "deny"}, {"table": "customer", "action": "rewrite", "column": "c_name", "value": "masked", "key": "c_custkey", "rewrite": "SELECT c_custkey FROM customer WHERE c_nationkey > 20"}]}
+    engine.create_view("v", "SELECT c_custkey, c_name, c_nationkey FROM customer")
+    made = Universe(engine, Policies.parse(policies), {"id": 7}).install(["v"], "u7_")
+    engine.write_rows("customer", _writes(rows))
+    return engine.view(made["v"]).scan()
+
+
+@query("avg_sql", "SELECT o_custkey, avg(o_orderkey) AS mean FROM orders GROUP BY o_custkey")
+def avg_sql(spark, sf_dir):
+    return _engine(spark, sf_dir, "orders").create_view("v", "SELECT o_custkey, AVG(o_orderkey) AS mean FROM orders GROUP BY o_custkey").scan()
+
+
+@query("using_and_set_operations", "(SELECT k FROM (SELECT c_custkey AS k FROM customer) JOIN (SELECT o_custkey AS k FROM orders) USING (k)) EXCEPT SELECT s_suppkey FROM supplier")
+def using_and_set_operations(spark, sf_dir):
+    sql = "(SELECT k FROM (SELECT c_custkey AS k FROM customer) JOIN (SELECT o_custkey AS k FROM orders) USING (k)) EXCEPT SELECT s_suppkey FROM supplier"
+    return _engine(spark, sf_dir, "customer", "orders", "supplier").create_view("v", sql).scan()
+
+
+@query("logic_sql", "SELECT c_custkey FROM customer WHERE (c_acctbal BETWEEN 0 AND 5000 OR c_name LIKE '%9') AND NOT c_mktsegment = 'BUILDING' AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def logic_sql(spark, sf_dir):
+    return _engine(spark, sf_dir, "customer", "orders").create_view("v", "SELECT c_custkey FROM customer WHERE (c_acctbal BETWEEN 0 AND 5000 OR c_name LIKE '%9') AND NOT c_mktsegment = 'BUILDING' AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)").scan()
+
+
+@query("reopened_engine", f"{_WRITTEN} SELECT c_nationkey, count(*) AS n FROM written GROUP BY c_nationkey")
+def reopened_engine(spark, sf_dir):
+    """What an engine shows that was opened again after a write, and written to once more without effect."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    folder = f"{shared(spark)}/engine-{uuid.uuid4().hex}"
+    engine = Engine(spark, folder)
+    engine.create_table("customer", rows.schema, ["c_custkey"], rows=rows)
+    engine.create_view("v", "SELECT c_nationkey, COUNT(*) AS n FROM customer GROUP BY c_nationkey")
+    engine.write_rows("customer", _writes(rows), "s", 0)
+    again = Engine.reopen(spark, folder)
+    again.write_rows("customer", _writes(rows), "s", 0)  # taken in before
+    return again.view("v").scan()
+
+
+@query("event_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    counted = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.col("w.start").alias("window_start"), "event_type", "n")

@@ -10,20 +10,21 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.relational import trigger
 from tidemark.plans.engine import Engine
-from tidemark.sources.layers import shared, stored
+from tidemark.sources.store import APPEND, Store, signed
 
 
 def follow(engine: Engine, table: str, changes: DataFrame, checkpoint: str, once: bool = True, order: Sequence[str] = ("_seq",)) -> StreamingQuery:
     """Applies a stream of rows with the table's columns, _op and _seq. once: takes what is there and ends.
 
-    A batch that is played again after a failure finds its number in applied and is skipped, so that sums count it once within a session.
+    order: the columns that say in what order changes apply; other than _seq, they make its numbers, batch by batch. The engine notes a batch's number in the
+    same step as the batch itself, so a batch that is played again after a failure counts once, also in an engine that was reopened since.
     """
-    applied: set[int] = set()
+    stream = f"{table}<{checkpoint}"
 
     def take(batch: DataFrame, number: int) -> None:
-        if number not in applied:
-            engine.write_rows(table, batch.orderBy(*order) if tuple(order) != ("_seq",) else batch)
-            applied.add(number)
+        if tuple(order) != ("_seq",):  # places in that order, taken on all machines
+            batch = batch.drop("_seq").orderBy(*order).withColumn("_seq", F.monotonically_increasing_id())
+        engine.write_rows(table, batch, stream, number)
 
     writer = changes.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -33,12 +34,14 @@ class NewKeys:
     """Calls event with the keys of each batch that no earlier batch had. Seen keys are stored, not held."""
 
     def __init__(self, key: str, event: Callable[[DataFrame], None], folder: str | None = None):
-        self.key, self.event, self.folder, self.seen = key, event, folder, None
+        self.key, self.event, self.folder = key, event, folder
+        self.seen: Store | None = None
 
     def __call__(self, batch: DataFrame, number: int = 0) -> None:
-        seen = self.seen if self.seen is not None else batch.select(self.key).limit(0)
-        new = stored(trigger(batch, seen, self.key), self.folder or shared(batch.sparkSession))
-        self.seen = new if self.seen is None else self.seen.unionByName(new)
+        if self.seen is None:
+            self.seen = Store(batch.select(self.key).limit(0), APPEND, folder=self.folder, own=True)
+        new = self.seen.write(signed(trigger(batch, self.seen.rows, self.key))).select(self.key)
+        self.seen.settle()
         if not new.isEmpty():
             self.event(new)
 
