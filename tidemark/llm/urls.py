@@ -1,7 +1,8 @@
 """URL filters by the ratio of two character models, with built-in Spark functions only.
 
 URLs that a rule allows and URLs that a rule blocks train two smoothed Markov models of variable order (Witten-Bell, up to three characters before).
-The difference of a URL's log-likelihoods, by its length, is held against a limit that separates a held-out fifth of the ruled URLs best.
+The difference of a URL's log-likelihoods, by its length, is held against a limit. The limit is the one that separates a fifth of the ruled URLs best, scored by
+models of the other four fifths; the models that judge are then made of all ruled URLs.
 """
 
 from __future__ import annotations
@@ -98,11 +99,13 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     allow = [k for k, r in enumerate(rules) if r.verdict == "allow"]
     texts = common.checkpointed(own.groupBy("text").agg(F.count_if(F.col("k").isin(allow)).alias("a"), F.count_if(F.col("k").isNotNull() & ~F.col("k").isin(allow)).alias("r")))
     test = F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(5)) == 0
-    each = texts.select("text", F.when(test, 0).otherwise(F.col("a")).alias("a"), F.when(test, 0).otherwise(F.col("r")).alias("r"), F.explode(grams(F.col("text"))).alias("gram"))
-    table = common.checkpointed(ratios(common.checkpointed(each.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r")))))
+    each = texts.select("text", "a", "r", test.alias("test"), F.explode(grams(F.col("text"))).alias("gram"))
+    counted = common.checkpointed(each.groupBy("gram").agg(*(F.sum(k).alias(k) for k in "ar"), *(F.sum(F.when(F.col("test"), 0).otherwise(F.col(k))).alias(f"{k}4") for k in "ar")))
+    tested = texts.where(test & (F.col("a") + F.col("r") > 0))
+    held = tested.select("text", F.explode(grams(F.col("text"))).alias("gram")).join(ratios(counted.select("gram", F.col("a4").alias("a"), F.col("r4").alias("r"))), "gram").groupBy("text").agg(F.avg("ratio").alias("score"))
+    at = limit(tested.join(held, "text").select("score", (F.col("a") >= F.col("r")).alias("allowed")))
+    table = common.checkpointed(ratios(counted.select("gram", "a", "r")))
     scores = common.checkpointed(each.join(table, "gram").groupBy("text").agg(F.avg("ratio").alias("score")))
-    tested = texts.where(test & (F.col("a") + F.col("r") > 0)).join(scores, "text").select("score", (F.col("a") >= F.col("r")).alias("allowed"))
-    at = limit(tested)
     out = own.join(scores, "text", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     by_rule = F.get(F.array(*(F.lit(r.verdict) for r in rules)), F.col("k"))
     return out.select("page_id", "host", "path", F.get(F.array(*(F.lit(r.text) for r in rules)), F.col("k")).alias("rule"), F.coalesce(by_rule, F.when(F.col("score") >= at, "allow").otherwise("block")).alias("verdict"), "score")
