@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
-#: Pieces of equal length are ranked in buckets of about so many rows.
+#: Pieces of equal length are ranked in buckets of about so many rows; each length has buckets of its own number.
 RANK_ROWS = 20_000
 #: Chunks of text whose ids a worker keeps, and the longest that is kept.
 CACHED, CACHED_CHARS = 500_000, 48
@@ -47,14 +47,18 @@ class _Chunks(dict):
         self.split = regex.compile(pattern).findall
         #: Characters whose case folds and composes as here in every library.
         self.plain = regex.compile(r"[\x21-\x7e\u00a1-\u00b4\u00b6-\u00ff]*").fullmatch
+        #: Merging by ids gives the merge list's tokens only if ids rise with it; else all goes to the tokenizer itself.
+        self.merges_rise = ids_rise(own["model"])
         self.specials = [t["content"] for t in own["added_tokens"]]
         self.pairs = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=byte_ranks(own["model"]), special_tokens={})._core_bpe.encode_single_piece
-        self.stops = {c: self.pairs(c.encode() + WORD_END) for c in ",.!;:?"}
+        self.stops: dict = {c: self.pairs(c.encode() + WORD_END) for c in ",.!;:?"}
         self.long: list[str] = []
 
     def __missing__(self, chunk: str) -> bytes:
         word = chunk[:-1] if chunk[-1] in self.stops else chunk
-        if word.isalpha() and len(word) <= 200 and self.plain(word):
+        if not self.merges_rise:
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        elif word.isalpha() and len(word) <= 200 and self.plain(word):
             ids = self.pairs(word.lower().encode() + WORD_END)
             if word is not chunk:
                 ids += self.stops[chunk[-1]]
@@ -72,6 +76,13 @@ class _Chunks(dict):
 WORD_END = b"\xff"
 
 
+def ids_rise(model: dict) -> bool:
+    """Whether each merge of the list makes a token of its own, with an id above those of all merges before it."""
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    ids = [model["vocab"].get(a + b, -1) for a, b in merges]
+    return all(x < y for x, y in zip(ids, ids[1:], strict=False)) and min(ids, default=0) >= 0
+
+
 def byte_ranks(model: dict) -> dict[bytes, int]:
     """The vocabulary by bytes. Ids rise with the merges' order, and each token comes of one pair, so merging by ids gives the tokens of the merge list."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -219,8 +230,8 @@ def layout(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     rows = common.checkpointed(pieces.select(*columns).withColumn("__tm_row", F.monotonically_increasing_id()))
     counts = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}
     runs = plan(counts, capacity)
-    buckets = sum(counts.values()) // RANK_ROWS + 1
-    rows = rows.withColumn("__tm_bucket", F.pmod(F.xxhash64("__tm_row"), F.lit(buckets)))
+    buckets = F.lit([counts.get(n, 0) // RANK_ROWS + 1 for n in range(capacity + 1)]).cast("array<int>")
+    rows = rows.withColumn("__tm_bucket", F.pmod(F.xxhash64("__tm_row"), F.get(buckets, F.col("length").cast("int"))))
     before = Window.partitionBy("length").orderBy("__tm_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("length", "__tm_bucket").agg(F.count(F.lit(1)).alias("__tm_n")).select("length", "__tm_bucket", F.coalesce(F.sum("__tm_n").over(before), F.lit(0)).alias("__tm_before"))
     own = Window.partitionBy("length", "__tm_bucket").orderBy("__tm_row")
