@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
-#: Rounds after which the input can't be what it claims; each round at least halves long paths.
-MOST_ROUNDS = 60
 #: So many edges (16 bytes each) one task may finish on its own; more are contracted by all.
 LOCAL_EDGES = 1_000_000
 
@@ -54,7 +52,7 @@ def connected_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> Da
     e = common.checkpointed(e)
     size = lambda: e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
     now, before = size(), None
-    for _ in range(MOST_ROUNDS):
+    while True:  # each round lowers the sum of the ends or leaves the edges as they are, so a fixed point comes
         if now[0] <= local_edges:
             return _in_one_task(e)
         if now == before:
@@ -66,4 +64,3 @@ def connected_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> Da
         e = e.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
         e = common.checkpointed(e)
         now, before = size(), now
-    raise RuntimeError("components did not settle")
