@@ -40,7 +40,8 @@ RULES = (
     Rule("key_block", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", hint="PRIVATE KEY-----"),
     Rule("hosted_token", r"\bgh[pousr]_[A-Za-z0-9]{36,}", hint="_"),
     Rule("chat_token", r"\bxox[abprs]-[A-Za-z0-9-]{10,}", hint="xox"),
-    Rule("web_token", r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", hint="eyJ"),
+    # the head's length is bounded, so that a text of many heads without a dot is searched in time proportional to its length
+    Rule("web_token", r"\beyJ[A-Za-z0-9_-]{10,250}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", hint="eyJ"),
 )
 
 
@@ -55,6 +56,7 @@ def unseen(blobs: DataFrame, ledger: DataFrame | None, rules=RULES) -> DataFrame
     once = blobs.dropDuplicates(["blob"])
     if ledger is None:
         return once.withColumn("todo", keys)
+    # both sides of the join go by blob, as the one text of each blob does
     seen = ledger.where(F.col("rule").isin([r.key for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
     return once.join(seen, "blob", "left").withColumn("todo", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>")))).drop("seen").where(F.size("todo") > 0)
 
@@ -101,18 +103,80 @@ def spans(found: DataFrame, rules=RULES) -> DataFrame:
     return own.select("blob", *counts, text(F.filter("s", lambda y: y["at"].isin(base))).alias("base"), text(F.col("s")).alias("spans"))
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, known: DataFrame | None = None, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, blob, n_<kind> for base kinds, base and spans (`kind:start:end` by start, then the rules' order, comma-joined).
+def known_findings(known: DataFrame, rules=RULES) -> DataFrame:
+    """Earlier findings that rules in their versions of now have made, each at its rule's place of now."""
+    places = F.array(*(F.lit(r.key) for r in rules))
+    return known.where(F.col("rule").isin([r.key for r in rules])).withColumn("at", F.array_position(places, F.col("rule")).cast("int") - 1).select("blob", "rule", "kind", "at", "start", "end")
+
 
-    ledger (blob, rule) and known (findings of earlier scans) leave only new pairs to scan. Null text is the empty text, without findings. Null ids stay null;
-    rows that repeat give rows that repeat; equal texts have equal results. No documents: no rows. Further columns are left out.
+class Ledger:
+    """A ledger and its findings as tables in a folder that all machines share: (blob, rule) pairs that were scanned, and what was found.
+
+    Each update adds Parquet files to both, findings first: where it fails in between, the pairs aren't in the ledger and are scanned again, and
+    findings that stand twice count once.
     """
-    paths = addressed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
-    found = findings(unseen(paths.select("blob", "text"), ledger, rules), rules)
-    if known is not None:
-        found = found.unionByName(known.select(found.columns))
+
+    def __init__(self, spark, folder: str, rules=RULES):
+        self.spark, self.folder, self.rules = spark, folder.rstrip("/"), rules
+
+    def _read(self, name: str, schema: str) -> DataFrame | None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}") if there else None
+
+    @property
+    def pairs(self) -> DataFrame | None:
+        return self._read("ledger", "blob string, rule string")
+
+    @property
+    def findings(self) -> DataFrame | None:
+        return self._read("findings", "blob string, rule string, kind string, at int, start long, end long")
+
+    def update(self, versions: DataFrame, text_col: str = "text") -> None:
+        """Scans what the ledger hasn't of the versions' blobs: each blob once, by the rules that have not seen it."""
+        blobs = addressed(versions.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))).select("blob", "text")
+        todo = unseen(blobs, self.pairs, self.rules)
+        found = findings(todo, self.rules)
+        found.select("blob", "rule", "kind", "at", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).write.mode("append").parquet(f"{self.folder}/findings")
+        # of the blobs again, by their addresses alone
+        ledger_rows(unseen(blobs, self.pairs, self.rules).drop("text")).write.mode("append").parquet(f"{self.folder}/ledger")
+
+    def report(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """What scan() gives for the documents, by the findings alone; their blobs must have been scanned."""
+        found = self.findings
+        if found is None:
+            raise ValueError("nothing was scanned")
+        return joined(docs, known_findings(found, self.rules), self.rules, id_col, text_col)
+
+
+def joined(docs: DataFrame, found: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Findings joined back to all paths that hold their blobs."""
+    paths = addressed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", "blob")
     # stored, so that the join deals out both sides anew and a blob with very many paths can be split
     own = common.checkpointed(spans(found, rules))
-    out = paths.select("doc_id", "blob").join(own, "blob", "left")
+    out = paths.join(own, "blob", "left")
     zero = [F.coalesce(f"n_{r.kind}", F.lit(0).cast("long")).alias(f"n_{r.kind}") for r in rules if r.base]
     return out.select("doc_id", "blob", *zero, *(F.coalesce(c, F.lit("")).alias(c) for c in ("base", "spans")))
+
+
+def scan(docs: DataFrame, ledger: DataFrame | None = None, known: DataFrame | None = None, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, blob, n_<kind> for base kinds, base and spans (`kind:start:end` by start, then the rules' order, comma-joined).
+
+    ledger (blob, rule) and known (findings of earlier scans) leave only new pairs to scan; findings of rules, or versions of rules, that are no longer among the
+    rules don't count. Null text is the empty text, without findings. Null ids stay null; rows that repeat give rows that repeat; equal texts have equal
+    results. No documents: no rows. Further columns are left out.
+    """
+    blobs = addressed(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))).select("blob", "text")
+    found = findings(unseen(blobs, ledger, rules), rules)
+    if known is not None:
+        found = found.unionByName(known_findings(known, rules))
+    return joined(docs, found, rules, id_col, text_col)
+
+
+def history(docs: DataFrame, folder: str, versions: int = 2, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What scan() gives, by a ledger in the folder that grows as the documents did: in so many states, each holding the ones before and more, the last all."""
+    ledger = Ledger(docs.sparkSession, folder, rules)
+    of = F.pmod(F.xxhash64(F.col(id_col)), F.lit(versions))
+    for k in range(versions):
+        ledger.update(docs.where(of <= k) if k < versions - 1 else docs, text_col)
+    return ledger.report(docs, id_col, text_col)
