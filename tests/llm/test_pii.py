@@ -41,7 +41,7 @@ def test_known_shapes():
 
 def test_texts_with_spelled_emails_alone_are_searched():
     """Also where nothing but the address itself, without digit, @ or title, says that there may be a span."""
-    model = pii.Model(np.full((len(pii.EXTRA), 9), 9.0), np.zeros((len(pii.EXTRA), 4)))
+    model = pii.Model(np.full((len(pii.EXTRA), 9 + sum(pii.FEATURES)), 9.0), np.zeros((len(pii.EXTRA), 4)))
     for address in ("jane [at] example [dot] com", "jane (at) example (dot) com", "jane at example dot com", "jane [at]example[dot]com"):
         assert [(address, k) for _, k, _ in pii.find(address, model)] == [(address, pii.KINDS.index("spelled_email"))]
         assert pii.redact(f"write to\n{address}\nsoon", model) == pii.redact(f"write to\n{address}\nsoon 1", model)[:-2] != f"write to\n{address}\nsoon"
@@ -61,12 +61,64 @@ def test_whole_table(spark, tiny):
 
 def test_reliabilities_follow_agreement():
     """Labelers that agree on most candidates come out more reliable than one that votes against them."""
-    counted = {(0, (1, 1, 1, -1)): 400, (0, (-1, -1, -1, 1)): 300, (0, (1, 1, 0, 1)): 30, (0, (-1, -1, 0, -1)): 30}
+    counted = {(0, v, (1, 0, 1, 1)): n for v, n in (((1, 1, 1, -1), 400), ((-1, -1, -1, 1), 300), ((1, 1, 0, 1), 30), ((-1, -1, 0, -1), 30))}
     model = pii.fit(counted)
     assert model.reliabilities[0][0] > 0.9 > model.reliabilities[0][3]
     assert model.chance(0, (1, 1, 1, 0)) > pii.LIKELY > model.chance(0, (-1, -1, 0, 0))
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.tuples(*[st.sampled_from([-1, 0, 1])] * 4), st.integers(1, 500), min_size=1, max_size=30))
+def test_expectation_maximisation_spelled_out(counted):
+    """The same numbers by loops over single candidates."""
+    from math import exp, log
+
+    share, right = 0.4, [0.85] * 4
+    for _ in range(pii.ROUNDS):
+        good, votes, true, post = [17.0] * 4, [20.0] * 4, 4.0, {}
+        for v, n in counted.items():
+            up, down = log(share), log(1 - share)
+            for x, r in zip(v, right, strict=True):
+                if x:
+                    up, down = up + log(r if x == 1 else 1 - r), down + log(1 - r if x == 1 else r)
+            post[v] = p = 1 / (1 + exp(min(30.0, max(-30.0, down - up))))
+            true += n * p
+            for i, x in enumerate(v):
+                if x:
+                    good[i] += n * (p if x == 1 else 1 - p)
+                    votes[i] += n
+        right = [min(0.99, max(0.55, g / m)) for g, m in zip(good, votes, strict=True)]
+        share = min(0.95, max(0.05, true / (sum(counted.values()) + 10)))
+    got = pii.reliabilities(np.array(list(counted)), np.array(list(counted.values()), float))
+    assert np.allclose(got[0], right) and np.isclose(got[1], share) and np.allclose(got[2], [post[v] for v in counted])
+
+
+def test_features_decide_what_labelers_leave_open():
+    """Candidates without votes that look like the likely ones are likelier than those that look like the others."""
+    counted = {(0, (1, 1, 1, 0), (1, 0, 1, 2)): 500, (0, (-1, -1, -1, 0), (3, 3, 3, 3)): 500, (0, (0, 0, 0, 0), (1, 0, 1, 2)): 20, (0, (0, 0, 0, 0), (3, 3, 3, 3)): 20}
+    model = pii.fit(counted)
+    assert model.chance(0, (0, 0, 0, 0), (1, 0, 1, 2)) > model.chance(0, (0, 0, 0, 0), (3, 3, 3, 3)) + 0.1
+    assert model.chance(0, (1, 1, 1, 0), (1, 0, 1, 2)) > pii.LIKELY > model.chance(0, (-1, -1, -1, 0), (3, 3, 3, 3))
+
+
+def test_candidates_stand_outside_taken_spans():
+    """Also where taken spans overlap each other; in time proportional to their number."""
+    import time
+
+    text = "SSN 123-45-6789 " * 3
+    every = [c[0] for c in pii.candidates(text, [])]
+    assert every == [4, 20, 36]
+    assert [c[0] for c in pii.candidates(text, [(0, 0, 5), (2, 1, 3)])] == [20, 36]
+    assert [c[0] for c in pii.candidates(text, [(0, 0, 4), (15, 1, 20), (16, 2, 37)])] == [4]
+    took = []
+    for n in (4_000, 16_000):
+        text = "a@b.de 123-45-6789 " * n
+        start = time.perf_counter()
+        assert sum(1 for _ in pii.candidates(text, pii.base_spans(text))) == n
+        took.append(time.perf_counter() - start)
+    assert took[1] < 10 * took[0] + 1
+
+
 def test_added_spans_and_redaction(spark):
     clean = "nothing to see here at all"
     rows = [(i, f"SSN 123-45-{1000 + i} of the patient, call (555) 234-{1000 + i} by phone") for i in range(40)] + [(99, clean), (100, None)]

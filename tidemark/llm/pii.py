@@ -1,14 +1,16 @@
 """Personal data by weak supervision: labelers vote, their reliabilities are estimated, a final classifier decides on spans.
 
 Base spans (email, ip, card, phone) are what their expressions match. Further candidates, found where a text has digits, an at-sign, a spelled dot or a title, get
-votes from regex, gazetteer and context labelers. How often each pattern of votes and features occurs is counted over all documents; from those counts
-expectation-maximisation estimates each labeler's reliability and the share of true candidates, and logistic regression is fitted to its posteriors.
-Candidates that this classifier holds likely are added to the base spans.
+votes from regex, gazetteer and context labelers, and features of their own: length, the sign that parts the span, the kinds of character around it. How often each
+pattern of votes and features occurs is counted over all documents: at most 81 patterns of votes times 256 of features for each kind, whatever the corpus. From the
+counts expectation-maximisation estimates each labeler's reliability and the share of true candidates, and logistic regression on votes and features is fitted to its
+posteriors, so that what labelers leave open is decided by what likely spans look like. Candidates that this classifier holds likely are added to the base spans.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -121,62 +123,99 @@ def votes(kind: int, text: str, start: int, end: int) -> tuple[int, ...]:
     return form, listed, context, (-1 if odd > 8 or near.count(s) > 0 else 0)
 
 
-def candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, tuple[int, ...]]]:
-    """(start, kind's number among EXTRA, end, votes) for candidates outside the taken spans."""
+#: Values that each feature of a span has.
+FEATURES = (4, 4, 4, 4)
+_BESIDE = ("", ":=", "\n\t .,;()[]\"'")
+
+
+def features(text: str, start: int, end: int) -> tuple[int, ...]:
+    """Length class, what parts the span, and what stands before and after it: nothing, a mark of assignment, a blank or stop, or anything else."""
+    s = text[start:end]
+    beside = lambda c: next((i for i, kind in enumerate(_BESIDE) if c in kind), 3) if c else 0
+    before = text[start - 1 : start] if start else ""
+    if before == " " and start > 1 and text[start - 2] in ":=":
+        before = ":"
+    return min(3, (end - start) // 8), next((i for i, c in enumerate("- .") if c in s), 3), beside(before), beside(text[end : end + 1])
+
+
+def candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, tuple[int, ...], tuple[int, ...]]]:
+    """(start, kind's number among EXTRA, end, votes, features) for candidates outside the taken spans, which are sorted."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, _, b in taken:  # as stretches that don't overlap
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    digits = any(c.isdigit() for c in text)
     for k, pattern in enumerate(_CANDIDATES):
-        if k in (0, 2) and not any(c.isdigit() for c in text):
+        if k in (0, 2) and not digits:
             continue
         for m in pattern.finditer(text):
             a, b = m.span()
-            if not any(x < b and a < y for x, _, y in taken):
-                yield a, k, b, votes(k, text, a, b)
+            at = bisect_left(starts, b)
+            if not (at and ends[at - 1] > a):
+                yield a, k, b, votes(k, text, a, b), features(text, a, b)
 
 
 @dataclass
 class Model:
-    """For each extra kind: a bias and weights of the one-hot votes."""
+    """For each extra kind: a bias and weights of the one-hot votes and features."""
 
     weights: np.ndarray
     reliabilities: np.ndarray
 
-    def chance(self, kind: int, v: tuple[int, ...]) -> float:
-        return float(1 / (1 + np.exp(-self.weights[kind] @ _hot(v))))
+    def chance(self, kind: int, v: tuple[int, ...], f: tuple[int, ...] = ()) -> float:
+        """Without features, by the votes alone."""
+        return float(1 / (1 + np.exp(-np.clip(self.weights[kind] @ _hot(v, f), -500, 500))))
 
 
-def _hot(v: tuple[int, ...]) -> np.ndarray:
-    return np.array([1.0, *(float(x == y) for x in v for y in (1, -1))])
+def _hot(v: tuple[int, ...], f: tuple[int, ...] = ()) -> np.ndarray:
+    own = [float(x == y) for x, n in zip(f, FEATURES, strict=True) for y in range(n)] if f else [0.0] * sum(FEATURES)
+    return np.array([1.0, *(float(x == y) for x in v for y in (1, -1)), *own])
 
 
-def fit(counted: dict[tuple[int, tuple[int, ...]], int], labelers: int = 4) -> Model:
-    """Reliabilities by expectation-maximisation on counted patterns of votes, and a classifier on its posteriors, for each kind of its own.
+def reliabilities(v: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """How often each labeler is right, the share of true candidates and each pattern's chance, by expectation-maximisation on n times each row of votes.
 
     A labeler is taken to be right more often than not to start with; weak priors keep kinds with few candidates near that.
     """
-    weights, reliable = np.zeros((len(EXTRA), 1 + 2 * labelers)), np.full((len(EXTRA), labelers), 0.85)
+    share, right, post = 0.4, np.full(v.shape[1], 0.85), np.zeros(len(v))
+    for _ in range(ROUNDS):
+        up = np.where(v == 1, np.log(right), np.where(v == -1, np.log(1 - right), 0)).sum(1) + np.log(share)
+        down = np.where(v == 1, np.log(1 - right), np.where(v == -1, np.log(right), 0)).sum(1) + np.log(1 - share)
+        post = 1 / (1 + np.exp(np.clip(down - up, -30, 30)))
+        good = (n[:, None] * ((v == 1) * post[:, None] + (v == -1) * (1 - post)[:, None])).sum(0)
+        right = np.clip((good + 17) / ((n[:, None] * (v != 0)).sum(0) + 20), 0.55, 0.99)
+        share = float(np.clip(((n * post).sum() + 4) / (n.sum() + 10), 0.05, 0.95))
+    return right, share, post
+
+
+def fit(counted: dict[tuple[int, tuple[int, ...], tuple[int, ...]], int], labelers: int = 4) -> Model:
+    """Reliabilities by expectation-maximisation on counted patterns of votes, and a classifier of votes and features on its posteriors, for each kind of its own."""
+    weights, reliable = np.zeros((len(EXTRA), 1 + 2 * labelers + sum(FEATURES))), np.full((len(EXTRA), labelers), 0.85)
     for k in range(len(EXTRA)):
-        rows = [(np.array(v), n) for (kind, v), n in sorted(counted.items()) if kind == k]
+        rows = [(v, f, n) for (kind, v, f), n in sorted(counted.items()) if kind == k]
         v = np.array([r[0] for r in rows]).reshape(-1, labelers)
-        n = np.array([r[1] for r in rows], float)
-        share, right = 0.4, np.full(labelers, 0.85)
-        post = np.zeros(len(rows))
-        for _ in range(ROUNDS):
-            up = np.where(v == 1, np.log(right), np.where(v == -1, np.log(1 - right), 0)).sum(1) + np.log(share)
-            down = np.where(v == 1, np.log(1 - right), np.where(v == -1, np.log(right), 0)).sum(1) + np.log(1 - share)
-            post = 1 / (1 + np.exp(np.clip(down - up, -30, 30)))
-            good = (n[:, None] * ((v == 1) * post[:, None] + (v == -1) * (1 - post)[:, None])).sum(0)
-            right = np.clip((good + 17) / ((n[:, None] * (v != 0)).sum(0) + 20), 0.55, 0.99)
-            share = float(np.clip(((n * post).sum() + 4) / (n.sum() + 10), 0.05, 0.95))
+        n = np.array([r[2] for r in rows], float)
+        right, share, post = reliabilities(v, n)
         reliable[k] = right
-        # what the posterior says of patterns that did not occur guides the classifier there, with little weight
-        x = np.array([_hot(tuple(r)) for r in v] + [_hot(tuple(r)) for r in np.vstack([np.eye(labelers, dtype=int), -np.eye(labelers, dtype=int)])])
+        # candidates with votes teach the classifier, twice: as they are and with the votes hidden, so that features count where no labeler says anything.
+        # What single votes alone would say guides it where no such pattern occurred, with little weight
+        told = [i for i, r in enumerate(rows) if any(r[0])]
+        one, none = np.eye(labelers, dtype=int), (0,) * labelers
+        x = np.array([_hot(rows[i][0], rows[i][1]) for i in told] + [_hot(none, rows[i][1]) for i in told] + [_hot(tuple(r)) for r in np.vstack([one, -one])])
         bare = np.log(share / (1 - share)) + np.concatenate([np.log(right / (1 - right)), -np.log(right / (1 - right))])
-        y = np.concatenate([post, 1 / (1 + np.exp(-bare))])
-        w = np.concatenate([n / max(1.0, n.sum()) * 100, np.full(2 * labelers, 5.0)])
+        y = np.concatenate([post[told], post[told], 1 / (1 + np.exp(-bare))])
+        own = n[told] / max(1.0, n[told].sum())
+        w = np.concatenate([own * 80, own * 20, np.full(2 * labelers, 5.0)])
+        ridge = np.array([0.05] * (1 + 2 * labelers) + [0.5] * sum(FEATURES))
         theta = np.zeros(x.shape[1])
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-            h = (x * (w * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(x.shape[1])
-            theta -= np.linalg.solve(h, x.T @ (w * (p - y)) + 0.05 * theta)
+            h = (x * (w * p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+            theta -= np.linalg.solve(h, x.T @ (w * (p - y)) + ridge * theta)
         weights[k] = theta
     return Model(weights, reliable)
 
@@ -188,11 +227,14 @@ def find(text: str, model: Model | None) -> list[tuple[int, int, int]]:
     base = base_spans(text)
     if model is None:
         return base
-    return sorted(base + [(a, len(BASE) + k, b) for a, k, b, v in candidates(text, base) if model.chance(k, v) >= LIKELY])
+    return sorted(base + [(a, len(BASE) + k, b) for a, k, b, v, f in candidates(text, base) if model.chance(k, v, f) >= LIKELY])
 
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
-    """A model from the counted votes on all candidates of all documents; no labels are used."""
+    """A model from the counted votes on, and features of, all candidates of all documents; no labels are used.
+
+    Null and empty texts have no candidates; rows that repeat count each time. Without any candidates, or documents, the labelers' starting reliabilities decide.
+    """
     common.shipped(docs.sparkSession)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,12 +242,14 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         for b in common.slices(batches):
             for t in common.texts(b):
                 if _any(t):
-                    found.update((k, v) for _, k, _, v in candidates(t, base_spans(t)))
+                    found.update((k, v, f) for _, k, _, v, f in candidates(t, base_spans(t)))
         rows = list(found.items())
-        yield pa.RecordBatch.from_arrays([pa.array([k for (k, _), _ in rows], pa.int32()), pa.array([",".join(map(str, v)) for (_, v), _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["k", "v", "n"])
+        text = lambda x: ",".join(map(str, x))
+        yield pa.RecordBatch.from_arrays([pa.array([k for (k, _, _), _ in rows], pa.int32()), pa.array([text(v) for (_, v, _), _ in rows], pa.string()), pa.array([text(f) for (_, _, f), _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["k", "v", "f", "n"])
 
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(made, "k int, v string, n long").groupBy("k", "v").agg(F.sum("n").alias("n")).collect()
-    return fit({(r.k, tuple(map(int, r.v.split(",")))): r.n for r in counted})
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(made, "k int, v string, f string, n long").groupBy("k", "v", "f").agg(F.sum("n").alias("n")).collect()
+    numbers = lambda x: tuple(map(int, x.split(",")))
+    return fit({(r.k, numbers(r.v), numbers(r.f)): r.n for r in counted})
 
 
 def shown(spans: list[tuple[int, int, int]]) -> str:
@@ -250,7 +294,10 @@ def redact(text: str, model: Model | None) -> str:
 
 
 def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """docs with personal data in text_col replaced; length_col, if there is one, gets the new length. Null texts stay null."""
+    """docs with personal data in text_col replaced; length_col, if there is one, gets the new length where the text changes.
+
+    Null texts stay null; ids aren't looked at; rows that repeat stay as many, with equal texts. No documents: no rows. All columns stay.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(train(docs, text_col))
     names = docs.columns
