@@ -76,14 +76,73 @@ def test_additive_model_finds_a_bend_and_a_pair():
 
 def test_ftrl_is_sparse_and_right():
     rng = np.random.default_rng(4)
-    good, noise = np.arange(1, 6, dtype=np.uint64) << np.uint64(40), np.arange(100, 600, dtype=np.uint64) << np.uint64(40)
+    good, noise = np.arange(1, 6), np.arange(100, 600)
     y = rng.integers(0, 2, 1500)
     rows = [np.unique(np.concatenate([good[rng.random(5) < (0.7 if t else 0.1)], rng.choice(noise, 20)])) for t in y]
-    model = toxicity.fit(rows, y.astype(float))
+    model = toxicity.fit(lambda: rows, y.astype(float))
     weights = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
     assert all(weights[int(g)] > 0 for g in good) and len(weights) < 250
 
 
+def ftrl(rows, labels):
+    """FTRL-proximal with dictionaries, one coordinate after another; coordinates are any objects, None is the bias."""
+    from math import exp, log, sqrt
+
+    z, n = {}, {}
+    prior = (sum(labels) + 0.5) / (len(labels) + 1)
+    z[None] = -log(prior / (1 - prior)) * (toxicity.BETA / toxicity.ALPHA + toxicity.L2)
+
+    def weight(i):
+        zi, l1 = z.get(i, 0.0), 0.0 if i is None else toxicity.L1
+        if abs(zi) <= l1:
+            return 0.0
+        return -(zi - (l1 if zi > 0 else -l1)) / ((toxicity.BETA + sqrt(n.get(i, 0.0))) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for row, y in zip(rows, labels, strict=True):
+            own = {i: weight(i) for i in [*row, None]}
+            g = 1 / (1 + exp(-max(-30.0, min(30.0, sum(own.values()))))) - y
+            for i, w in own.items():
+                s = (sqrt(n.get(i, 0.0) + g * g) - sqrt(n.get(i, 0.0))) / toxicity.ALPHA
+                z[i] = z.get(i, 0.0) + g - s * w
+                n[i] = n.get(i, 0.0) + g * g
+    return weight, list(z)
+
+
+def plain_features(text):
+    """Words, stems and pairs as they are, not hashed."""
+    import re
+
+    w = re.findall(r"\w+", text.lower())
+    return {*(("w", x) for x in w), *(("s", k, x[:k]) for x in w for k in toxicity.STEMS if len(x) > k), *(("p", d, a, b) for d in (1, 2) for a, b in zip(w, w[d:], strict=False))}
+
+
+def test_ftrl_spelled_out(spark, tiny):
+    """Scores of a whole table against dictionaries over the features themselves, in the order of training."""
+    from math import exp
+
+
+    docs, labels = common.table(spark, tiny, "documents"), common.table(spark, tiny, "labels")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    ids = [(i, y) for i, y in toxicity.sample_ids(labels, "toxic", common.crc_mod("doc_id", 4) == 2, toxicity.SAMPLE_ROWS) if i in texts]
+    assert len(ids) > 50
+    weight, _ = ftrl([sorted(plain_features(texts[i])) for i, _ in ids], [y for _, y in ids])
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).collect()}
+    want = {i: 1 / (1 + exp(-(weight(None) + sum(map(weight, plain_features(t)))))) for i, t in texts.items()}
+    off = [abs(got[i] - want[i]) for i in texts]
+    assert np.quantile(off, 0.95) < 0.02 and np.mean([(got[i] >= 0.3) == (want[i] >= 0.3) for i in texts]) > 0.99  # what is left is coordinates that features share
+
+
+def test_long_texts_take_nothing_away(spark):
+    """However long a labelled text is, and wherever it stands in the order, the others teach as before; no weight is too many."""
+    rows = [(i, f"{'vile hateful' if i % 3 == 0 else 'kind gentle'} words number{i} of note") for i in range(300)]
+    labels = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i, _ in rows] + [(1000, 0, 0)], "doc_id long, quality int, toxic int")
+    long = " ".join(f"w{i}" for i in range(400_000))
+    docs = spark.createDataFrame([*rows, (1000, long)], "doc_id long, text string")
+    model = toxicity.train(docs, labels)
+    assert len(model.keys) > 2 and model.score("vile hateful words") > 0.5 > 0.3 > model.score("kind gentle words")
+
+
 def test_languages(spark, small):
     docs = common.table(spark, small, "documents")
     truth = {r.doc_id: (r.lang, r.text) for r in docs.collect()}

@@ -1,13 +1,15 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are the distinct words and their stems, pairs of neighbours and pairs with one word between, hashed to 64 bits. Each coordinate has a learning rate of its own,
-and L1 leaves few weights, kept as sorted hashes with values: a compact array that goes to every executor.
+Features are the distinct words and their stems, pairs of neighbours and pairs with one word between, hashed to 2 ** BITS coordinates. Each coordinate has a learning
+rate of its own, and L1 leaves few weights, kept as sorted coordinates with values: a compact array that goes to every executor. Executors make the features
+of the labelled texts; one task reads them in order, row by row from a spool on its disk, so that neither long texts nor many words take more memory than the coordinates do.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,11 +20,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
-#: Labelled rows, and characters of their texts in all, that a model is fitted on at most: those first by a hash of their id.
-SAMPLE_ROWS, SAMPLE_CHARS = 8_000, 40_000_000
-#: Weights of a model at most; the largest stay.
-MOST_WEIGHTS = 100_000
-ALPHA, BETA, L1, L2, EPOCHS, LEAST_DOCS = 0.3, 1.0, 6.0, 1.0, 4, 5
+#: Labelled rows that a model is fitted on at most: those first by a hash of their id. All features of their whole texts count.
+SAMPLE_ROWS = 8_000
+ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 6.0, 1.0, 4
+#: Coordinates are so many bits of the features' hashes.
+BITS = 22
+#: Coordinates in one row of what is sent to the task that fits.
+PART = 1 << 15
 CACHED = 200_000
 
 _WORD = re.compile(r"\w+").findall
@@ -70,63 +74,64 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(29))
 
 
+def coordinates(text: str) -> np.ndarray:
+    """The distinct coordinates of a text's features, in order."""
+    return np.unique((features(text) >> _U(64 - BITS)).astype(np.uint32))
+
+
 @dataclass
 class Model:
-    keys: np.ndarray  # sorted
+    keys: np.ndarray  # coordinates, sorted
     weights: np.ndarray
     bias: float
 
     def __post_init__(self) -> None:
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[(self.keys >> _U(44)).astype(np.int64)] = True
+        self.dense = np.zeros(1 << BITS, np.float32)
+        self.dense[self.keys] = self.weights
+
+    def __reduce__(self):
+        return Model, (self.keys, self.weights, self.bias)
 
     def score(self, text: str) -> float:
         """Probability that the text is toxic."""
         total = self.bias
         if len(self.keys):
-            f = features(text)
-            f = f[self.seen[(f >> _U(44)).astype(np.int64)]]
-            if len(f):
-                f = np.unique(f)
-                at = np.minimum(np.searchsorted(self.keys, f), len(self.keys) - 1)
-                total += float(self.weights[at][self.keys[at] == f].sum())
+            at = (features(text) >> _U(64 - BITS)).astype(np.int64)
+            at = at[self.dense[at] != 0]
+            if len(at):
+                total += float(self.dense[np.unique(at)].sum(dtype=np.float64))
         return float(1 / (1 + np.exp(-np.clip(total, -40, 40))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, epochs: int = EPOCHS, least_docs: int = LEAST_DOCS) -> Model:
-    """FTRL-proximal over rows of distinct feature hashes, in the given order; features in fewer than least_docs rows are left out."""
+def constant(labels: np.ndarray) -> Model:
+    """The model of the labels' prior alone."""
     prior = (labels.sum() + 0.5) / (len(labels) + 1) if len(labels) else 0.0
+    return Model(np.zeros(0, np.uint32), np.zeros(0), float(np.log(max(prior, 1e-3) / (1 - min(prior, 0.999)))))
+
+
+def fit(rows: Callable[[], Iterable[np.ndarray]], labels: np.ndarray, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, epochs: int = EPOCHS) -> Model:
+    """FTRL-proximal over rows of distinct coordinates, read in order once for each epoch. State is two numbers a coordinate, whatever the rows are."""
     if not len(labels) or labels.min() == labels.max():
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(max(prior, 1e-3) / (1 - min(prior, 0.999)))))
-    every = np.concatenate(rows)
-    every.sort()
-    within = max(0, len(every) - least_docs + 1)  # rows are distinct, so a hash of so many rows stands so many times in a row here
-    keys = np.unique(every[:within][every[:within] == every[least_docs - 1 :]])
-    del every
-    own = []
-    for r in rows:
-        at = np.minimum(np.searchsorted(keys, r), max(len(keys) - 1, 0))
-        own.append(np.append(at[keys[at] == r], len(keys)) if len(keys) else np.zeros(1, np.int64))
-    z, n = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
-    z[-1] = -np.log(prior / (1 - prior)) * (beta / alpha + l2)
-    lasso = np.append(np.full(len(keys), l1), 0.0)
-
-    def weights(i):
-        zi = z[i]
-        return np.where(np.abs(zi) <= lasso[i], 0.0, -(zi - np.sign(zi) * lasso[i]) / ((beta + np.sqrt(n[i])) / alpha + l2))
+        return constant(labels)
+    prior = (labels.sum() + 0.5) / (len(labels) + 1)
+    bias = 1 << BITS  # has no L1 of its own
+    z, n = np.zeros(bias + 1), np.zeros(bias + 1)
+    z[bias] = -np.log(prior / (1 - prior)) * (beta / alpha + l2)
+
+    def weights(i: np.ndarray) -> np.ndarray:
+        zi, lasso = z[i], np.where(i == bias, 0.0, l1)
+        return np.where(np.abs(zi) <= lasso, 0.0, -(zi - np.sign(zi) * lasso) / ((beta + np.sqrt(n[i])) / alpha + l2))
 
     for _ in range(epochs):
-        for i, y in zip(own, labels, strict=True):
+        for row, y in zip(rows(), labels, strict=True):
+            i = np.append(row.astype(np.int64), bias)
             w = weights(i)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - y
             s = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha
             z[i] += g - s * w
             n[i] += g * g
-    w = weights(np.arange(len(keys) + 1))
-    keep = np.nonzero(w[:-1])[0]
-    if len(keep) > MOST_WEIGHTS:
-        keep = np.sort(keep[np.argsort(-np.abs(w[keep]), kind="stable")[:MOST_WEIGHTS]])
-    return Model(keys[keep], w[keep], float(w[-1]))
+    keys = np.nonzero(np.abs(z[:bias]) > l1)[0]
+    return Model(keys.astype(np.uint32), weights(keys), float(weights(np.array([bias]))[0]))
 
 
 def sample_ids(labels: DataFrame, label: str, held_out, rows: int, id_col: str = "doc_id") -> list[tuple[int, int]]:
@@ -135,31 +140,57 @@ def sample_ids(labels: DataFrame, label: str, held_out, rows: int, id_col: str =
     return [(r.id, r.y) for r in ids.orderBy(F.xxhash64("id"), "id").limit(rows).collect()]
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
-    """A model from the labelled documents whose crc32 of the id modulo 4 isn't 2."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Model:
+    """A model from the labelled documents whose crc32 of the id modulo 4 isn't 2.
+
+    Null text is the empty text. A labelled id without a document teaches nothing; one that repeats counts once for each of its documents. The order is
+    that of the ids' hashes. One class of labels, or no labels: the prior alone.
+    """
     spark = docs.sparkSession
     common.shipped(spark)
     ids = sample_ids(labels, label, common.crc_mod(id_col, 4) == 2, rows, id_col)
     if not ids:
-        return fit([], np.zeros(0))
-    chosen = F.broadcast(spark.createDataFrame(ids, "__tm_id long, y int"))
-    own = docs.select(F.col(id_col).cast("long").alias("__tm_id"), F.col(text_col).alias("text")).join(chosen, "__tm_id")
-    sizes = own.select("__tm_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).groupBy("__tm_id").agg(F.max("n").alias("n")).orderBy(F.xxhash64("__tm_id"), "__tm_id").collect()
-    total = np.cumsum([r.n for r in sizes])
-    fits = [r[0] for r, t in zip(sizes, total, strict=True) if t <= chars]
-    own = docs.select(F.col(id_col).cast("long").alias("__tm_id"), F.col(text_col).alias("text")).join(F.broadcast(spark.createDataFrame([i for i in ids if i[0] in set(fits)], "__tm_id long, y int")), "__tm_id")
+        return constant(np.zeros(0))
+    chosen = F.broadcast(spark.createDataFrame([(i, k, y) for k, (i, y) in enumerate(ids)], "__tm_id long, place int, y int"))
+    own = docs.select(F.col(id_col).cast("long").alias("__tm_id"), F.col(text_col).alias("text")).join(chosen, "__tm_id").select("place", "y", "text", F.monotonically_increasing_id().alias("row"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches):
-            f = [np.unique(features(t)).astype("<u8").tobytes() for t in common.texts(b)]
-            yield pa.RecordBatch.from_arrays([b.column("__tm_id"), b.column("y"), pa.array(f, pa.binary())], names=["id", "y", "f"])
-
-    got = own.mapInArrow(made, "id long, y int, f binary").toArrow()
-    place = {i: k for k, (i, _) in enumerate(ids)}
-    order = np.argsort([place[i] for i in got.column("id").to_pylist()], kind="stable")
-    y = got.column("y").to_numpy()
-    f = [np.frombuffer(x.as_buffer(), "<u8") for x in got.column("f")]  # views, not copies
-    return fit([f[i] for i in order], y[order].astype(float))
+            out = []
+            for place, y, row, t in zip(b.column("place").to_pylist(), b.column("y").to_pylist(), b.column("row").to_pylist(), common.texts(b), strict=True):
+                c = coordinates(t)
+                out += [(place, y, row, k, c[k : k + PART].astype("<u4").tobytes()) for k in range(0, max(1, len(c)), PART)]
+            columns = list(zip(*out, strict=True)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["place", "y", "row", "part", "f"])
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, got = _from_spool((c for b in batches for c in zip(b.column("row").to_pylist(), b.column("y").to_pylist(), b.column("f").to_pylist(), strict=True)))
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array([model.keys.astype("<u4").tobytes()], pa.binary()), pa.array([model.weights.astype("<f8").tobytes()], pa.binary()), pa.array([model.bias])], names=["keys", "weights", "bias"])
+
+    parts = own.mapInArrow(made, "place int, y int, row long, part int, f binary").repartition(1).sortWithinPartitions("place", "row", "part")
+    found = parts.mapInArrow(fitted, "keys binary, weights binary, bias double").first()
+    return constant(np.zeros(0)) if found is None else Model(np.frombuffer(found.keys, "<u4"), np.frombuffer(found.weights, "<f8"), found.bias)
+
+
+def _from_spool(parts: Iterable[tuple[int, int, bytes]]) -> tuple[Model, int]:
+    """A model from (row, label, some of its coordinates), rows together and in order; they go to a file of this task, and are read from it in each epoch."""
+    labels, sizes, last = [], [], None
+    with tempfile.TemporaryFile() as spool:
+        for row, y, f in parts:
+            if row != last:
+                labels.append(y)
+                sizes.append(0)
+                last = row
+            sizes[-1] += len(f)
+            spool.write(f)
+
+        def rows() -> Iterator[np.ndarray]:
+            spool.seek(0)
+            for n in sizes:
+                yield np.frombuffer(spool.read(n), "<u4")
+
+        return fit(rows, np.array(labels, float)), len(labels)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
