@@ -196,6 +196,77 @@ def test_probabilities_add_up(spark):
         assert np.allclose(total, 1, atol=0.02), total
 
 
+def kneser_ney(texts, n=4):
+    """Interpolated Kneser-Ney with dictionaries: log-probability of a text's characters, as UTF-16 units, by the texts of a language and the alphabet of all."""
+    from collections import Counter
+
+    def units(text):
+        out = [0]
+        for c in text.lower():
+            if c.isalpha():
+                out += [int.from_bytes(c.encode("utf-16-le")[i : i + 2], "little") for i in range(0, len(c.encode("utf-16-le")), 2)]
+            elif out[-1]:
+                out.append(0)
+        return out if not out[-1] else [*out, 0]
+
+    def grams(text):
+        u = [0] * (n - 1) + units(text)
+        return [tuple(u[i : i + n]) for i in range(len(u) - n + 1)]
+
+    def made(own, alphabet):
+        levels = {n: Counter(g for t in own for g in grams(t))}
+        for k in range(n - 1, 0, -1):
+            levels[k] = Counter(g[1:] for g in levels[k + 1])
+        discount, totals, kinds = {}, {}, {}
+        for k, level in levels.items():
+            a, b = (sum(v == x for v in level.values()) for x in (1, 2))
+            discount[k] = min(0.95, max(0.1, a / (a + 2 * b))) if a + b else 0.5
+            totals[k], kinds[k] = Counter(), Counter()
+            for g, v in level.items():
+                totals[k][g[:-1]] += v
+                kinds[k][g[:-1]] += 1
+
+        def chance(g):
+            if not g:
+                return 1 / (alphabet + 1)
+            k, total = len(g), totals[len(g)][g[:-1]]
+            lower = chance(g[1:])
+            return lower if not total else max(levels[k][g] - discount[k], 0) / total + discount[k] * kinds[k][g[:-1]] / total * lower
+
+        return lambda text: sum(np.log(chance(g)) for g in grams(text))
+
+    every = {g[-1] for own in texts.values() for t in own for g in grams(t)}
+    return {lang: made(own, len(every)) for lang, own in texts.items()}
+
+
+def test_kneser_ney_spelled_out(spark):
+    """Log-likelihoods of seen and unseen texts in each language; letters beyond U+FFFF are told apart."""
+    texts = {"aa": ["the cat sat on the mat", "a hat, that cat's hat; 9 cats", ""], "bb": ["der hut und das tuch", "zwölf tücher"], "cc": ["\U00010330\U00010331\U00010332 \U00010330\U00010331", "\U00020000\U00020001 日本"]}
+    docs = spark.createDataFrame([(lang, t) for lang, own in texts.items() for t in own], "lang string, text string")
+    model = language.build(language.counts(docs))
+    plain = kneser_ney(texts)
+    tried = [*(t for own in texts.values() for t in own), "the tuch sat", "xyz ñ", "\U00010332\U00010330", "\U00020000\U00010331 hut", "!"]
+    got, _, _ = model.totals(tried)
+    for t, row in zip(tried, got, strict=True):
+        assert np.allclose(row, [plain[lang](t) for lang in model.languages], atol=1e-3), t
+    gothic, linear = "\U00010330\U00010331", "\U00010000\U00010001"
+    a, b = model.totals([gothic, linear])[0]
+    assert a[2] > b[2] + 1
+
+
+def test_limits_of_acceptance_are_each_languages_own(spark):
+    """Also of languages with few documents among very many of another: text unlike them is rejected, their own accepted."""
+    rng = np.random.default_rng(5)
+    draw = lambda words: " ".join(rng.choice(words.split(), 12))
+    big, little = "the quick brown fox jumps over the lazy dog while we all sleep", "zwölf boxkämpfer jagen viktor quer über den großen sylter deich"
+    tiny = ["ota hevonen talli", "hevonen juoksee", "talli ja tie"]
+    rows = [(i, draw(big), "en") for i in range(3000)] + [(5000 + i, draw(little), "de") for i in range(700)] + [(8000 + i, t, "fi") for i, t in enumerate(tiny)]
+    rows += [(9000 + i, t, None) for i, t in enumerate([draw(little), "žluťoučký kůň příšerně úpěl ďábelské ódy", draw(big), tiny[0], "hevsenqq tallxx zzot"])]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [got[9000 + i].accepted for i in range(5)] == [True, False, True, True, False]
+    assert [got[9000 + i].lang_pred for i in (0, 2, 3)] == ["de", "en", "fi"]
+
+
 def test_no_n_gram_is_left_out(spark, monkeypatch):
     """No number of n-grams is too many: those of a small language stay beside a large one, however low a limit once was set."""
     monkeypatch.setattr(language, "MOST_CELLS", 20, raising=False)

@@ -4,7 +4,7 @@ Letters count in lower case, and each run of anything else is one blank. Counts
 summed by Spark; the lower orders' continuation counts and all probabilities follow from them in Spark too. No n-gram is left out. What goes
 to the executors is a file that they map into memory: hashed n-grams in sorted order with a row of log-probabilities for each, one
 column a language. The driver passes it on in parts and never holds all of it. The language with the lowest
-cross-entropy a character wins; a document is accepted if that isn't above what nearly all training documents of the language have.
+cross-entropy a character wins; a document is accepted if that isn't above what nearly all documents have that were kept aside for this in each language.
 """
 
 from __future__ import annotations
@@ -29,8 +29,10 @@ from tidemark.llm import common
 ORDER = 4
 #: Cells (n-grams times languages) that one task works on at once.
 CELLS_AT_ONCE = 1_000_000
-#: Training documents, first by a hash of their id, whose cross-entropies set the limits of acceptance; the share of them that is accepted.
-CALIBRATION_ROWS, ACCEPTED = 4_000, 0.995
+#: One training document in so many, by a hash of its id, only sets its language's limit of acceptance; the share of them that is accepted.
+CALIBRATION, ACCEPTED = 20, 0.995
+#: A language with fewer such documents learns from all its documents, and these set its limit.
+LEAST_CALIBRATION = 20
 #: Characters whose agreement makes a score certain.
 CERTAIN = 40
 
@@ -41,25 +43,34 @@ _LETTERS: list[np.ndarray] = []
 
 
 def _letters() -> np.ndarray:
-    """For each code point: itself, 0xFFFF for letters beyond 16 bits, 0 for all that isn't a letter."""
+    """For each code point whether it is a letter."""
     if not _LETTERS:
-        t = np.fromiter((min(c, 0xFFFF) if chr(c).isalpha() else 0 for c in range(0x110000)), np.uint16, 0x110000)
-        _LETTERS.append(t)
+        _LETTERS.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
     return _LETTERS[0]
 
 
 def characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts' characters in one row, where each text starts in it, and its number of letters. Each text begins with a blank and ends with one."""
+    """All texts' characters in one row, where each text starts in it, and its number of letters. Each text begins with a blank and ends with one.
+
+    A character is a UTF-16 unit, so that four fit 64 bits: letters beyond U+FFFF are two, and no two letters are alike.
+    """
     points = np.frombuffer(("\n" + "\n\n".join(texts) + "\n").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    x = _letters()[points]
+    letter = _letters()[points]
     lengths = np.array([len(t.lower()) + 2 for t in texts])
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    keep = x != 0
-    keep[1:] |= x[:-1] != 0
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
     keep[starts] = True
+    letters = np.add.reduceat(letter.astype(np.int64), starts)
+    x = np.where(letter, points, 0)[keep]
+    wide = x > 0xFFFF
     places = np.cumsum(keep) - keep
-    letters = np.add.reduceat((x != 0).astype(np.int64), starts)
-    return x[keep].astype(np.uint64), places[starts], letters
+    if not wide.any():
+        return x.astype(np.uint64), places[starts], letters
+    at = np.cumsum(1 + wide) - (1 + wide)
+    out = np.repeat(np.where(wide, 0xD800 + ((x - np.minimum(x, 0x10000)) >> 10), x), 1 + wide).astype(np.uint64)
+    out[at[wide] + 1] = 0xDC00 + (x[wide] & 0x3FF)
+    return out, at[places[starts]], letters
 
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -338,14 +349,16 @@ def _mixed(wide: int, discount: np.ndarray):
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Stored:
     """Models of the languages of documents whose crc32 of the id modulo 4 isn't 2 and whose language isn't null."""
+    spark = docs.sparkSession
     own = docs.where(F.col(lang_col).isNotNull() & (common.crc_mod(id_col, 4) != 2))
-    own = own.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    model = store(counts(own.where("text is not null")))
-    model.send(docs.sparkSession)
+    aside = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(CALIBRATION)) == 0
+    own = own.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), aside.alias("aside")).where("text is not null")
+    small = [r.lang for r in own.groupBy("lang").agg(F.count_if("aside").alias("n")).where(F.col("n") < LEAST_CALIBRATION).collect()]
+    of_small = F.col("lang").isin(small) if small else F.lit(False)
+    model = store(counts(own.where(~F.col("aside") | of_small)))
+    model.send(spark)
     if model.languages:
-        ids = own.select("id").orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS)
-        some = own.join(F.broadcast(ids.distinct()), "id").select("lang", "text")
-        shared = docs.sparkSession.sparkContext.broadcast(model)
+        shared = spark.sparkContext.broadcast(model)
 
         def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = shared.value.open()
@@ -355,7 +368,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 h = -total[np.arange(len(at)), at] / n
                 yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(np.where(letters > 0, h, np.nan))], names=["lang", "h"])
 
-        limit = {r.lang: r.h for r in some.mapInArrow(made, "lang string, h double").where("not isnan(h)").groupBy("lang").agg(F.percentile("h", F.lit(ACCEPTED)).alias("h")).collect()}
+        some = own.where(F.col("aside") | of_small).select("lang", "text").mapInArrow(made, "lang string, h double")
+        limit = {r.lang: r.h for r in some.where("not isnan(h)").groupBy("lang").agg(F.percentile_approx("h", ACCEPTED, 10_000).alias("h")).collect()}
         model.limits = np.array([limit.get(x, np.inf) for x in model.languages])
     return model
 
@@ -364,7 +378,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """(doc_id, held_out, lang_pred, score, cross_entropy, accepted) for every document, by models learned from the documents that aren't held out.
 
     lang_pred is `und`, with score 0 and not accepted, where text is null or has no letter, or nothing could be learned. accepted is false where
-    the winning language's cross-entropy is above its limit. The earlier language in sorted order wins a tie. Ids may be null or repeat.
+    the winning language's cross-entropy is above its limit. The earlier language in sorted order wins a tie. Ids may be null or repeat; documents that
+    repeat, or whose language is named by few others, count like any other.
     No documents: no rows. Further columns are left out.
     """
     model = train(docs, id_col, text_col, lang_col)
