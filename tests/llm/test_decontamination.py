@@ -54,3 +54,30 @@ def test_odd_tables(spark, odd, none):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {1, 2, None, 3, 7, 8, 9}
     assert decontamination.contaminated(none, items).count() == 0
     assert decontamination.contaminated(odd, items.limit(0)).count() == 0
+
+
+def test_the_index_is_compact():
+    """Bytes a character of items' text, and no more sets of shingles than are kept."""
+    import pickle
+    import random
+
+    rng = random.Random(3)
+    vocabulary = [f"word{i}" for i in range(5000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=200))) for i in range(1500)]
+    index = decontamination.Index(items, 5, 0.8)
+    chars = sum(len(t) for _, t in items)
+    assert len(pickle.dumps(index)) < 3 * chars
+    for i, t in items[:600]:
+        assert [m[0] for m in index.matches(f"before {t} after")] == [i]
+    assert len(index.held) <= decontamination.HELD and len(pickle.dumps(decontamination.Index(items, 5, 0.8))) < 3 * chars
+
+
+def test_sieves_lose_nothing(spark):
+    """Rows that are taken out one by one, all or none, with columns of any name."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(5000).select("id", F.lit("x").alias("__m0"), F.lit(1).alias("one"), F.lit(2).alias("b"))
+    for gone in ("id % 7 = 3", "id = 11", "true", "false"):
+        left = common.without(rows, spark.range(5000).where(gone), "id")
+        assert left.columns == rows.columns
+        assert sorted(r.id for r in left.collect()) == sorted(r.id for r in rows.where(f"NOT ({gone})").collect())

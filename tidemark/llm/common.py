@@ -23,10 +23,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, shared by the driver and all executors; one of this machine only where that is unset."""
+    """The folder that spark.checkpoint.dir names, shared by the driver and all executors. Where it is unset: a temporary one, if this machine is the only one; else an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -36,11 +39,35 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df, written to the shared folder as Parquet and read again."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bits of a sieve and words of 64 that hold them: at most so many rows of two numbers are sent to every executor.
+SIEVE_BITS = 24
+
+
+def sieve(ids: DataFrame, column: str) -> DataFrame:
+    """(w, bits): a bit for each hash of an id, 64 in a word; at most 2 ** (SIEVE_BITS - 6) rows, however many ids there are."""
+    h = F.shiftrightunsigned(F.xxhash64(column), 64 - SIEVE_BITS)
+    return ids.select(F.shiftright(h, 6).alias("__tm_w"), F.expr("1L").alias("one"), h.bitwiseAND(F.lit(63)).cast("int").alias("b")).groupBy("__tm_w").agg(F.bit_or(F.expr("shiftleft(one, b)")).alias("__tm_bits"))
+
+
+def without(rows: DataFrame, gone: DataFrame, column: str) -> DataFrame:
+    """rows whose column (a number, never null) is not among gone, a narrow table of as many ids as there may be.
+
+    A sieve of fixed size goes to every executor. What it lets pass is surely to stay and isn't moved; only the rest, the rows that go and a few
+    others, meets the ids in a join. With so many ids that the sieve is full, all rows meet them: slower, and the same rows.
+    """
+    gone = checkpointed(gone.select(column).distinct())
+    h = F.shiftrightunsigned(F.xxhash64(column), 64 - SIEVE_BITS)
+    marked = rows.withColumn("__tm_w", F.shiftright(h, 6)).join(F.broadcast(sieve(gone, column)), "__tm_w", "left")
+    maybe = F.coalesce(F.getbit("__tm_bits", h.bitwiseAND(F.lit(63)).cast("int")), F.lit(0)) == 1
+    back = lambda df: df.select(*(F.col(f"`{c}`") for c in rows.columns))
+    return back(marked.where(~maybe)).unionAll(back(marked.where(maybe)).join(gone, column, "left_anti").select(*(F.col(f"`{c}`") for c in rows.columns)))
 
 
 def shipped(spark: SparkSession) -> None:

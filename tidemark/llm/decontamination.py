@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +27,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BROADCAST_CHARS = 32_000_000
 #: Words whose hashes a worker keeps.
 CACHED = 400_000
+#: Bits of the sieve that documents' hashes pass before a join: 8 MB.
+SIEVE_BITS = 26
 
 _WORD = re.compile(r"\w+").findall
 _U = np.uint64
@@ -84,32 +87,61 @@ def class_of(distinct: int, threshold: float) -> Class:
     return Class(max(n - needed(n, threshold) + 1 for n in range(low, high + 1)) if high < 4096 else high - needed(high, threshold) + 2, needed(low, threshold))
 
 
+#: Sets of shingles that a worker keeps of the items it verified last.
+HELD = 256
+
+
 class Index:
-    """The items' signatures as one sorted array, with the items' shingles for verifying."""
+    """The items' signatures as one sorted array, and their words as text; shingles for verifying are made when a candidate asks for them."""
 
-    def __init__(self, items: list[tuple[int, str]], n: int, threshold: float):
-        self.n, self.threshold, self.ids, self.sets, self.fewest = n, threshold, [], [], []
-        hashes, owners = [], []
+    def __init__(self, items: Iterable[tuple[int, str]], n: int, threshold: float):
+        self.n, self.threshold, self.ids, self.texts = n, threshold, [], []
+        hashes, owners, fewest, sizes = [], [], [], []
+        self.short, self.held = False, OrderedDict()
         for item, text in items:
             w = words(text)
-            own = set(shingles(w, n))
-            if not own:
+            if not w:
                 continue
-            kind = class_of(len(own), threshold)
+            own = len(set(shingles(w, n)))
+            kind = class_of(own, threshold)
             some = np.unique(shingle_hashes(w, n))[: kind.length]
             hashes.append(some)
-            owners.append(np.full(len(some), len(self.ids)))
+            owners.append(np.full(len(some), len(self.ids), np.uint32))
             self.ids.append(item)
-            self.sets.append(own)
-            self.fewest.append(kind.fewest)
+            self.texts.append(" ".join(w))
+            fewest.append(kind.fewest)
+            sizes.append(own)
+            self.short |= len(w) < n
+        self.fewest, self.sizes = np.array(fewest, np.int64), np.array(sizes, np.int64)
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        o = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+        o = np.concatenate(owners) if owners else np.zeros(0, np.uint32)
         order = np.argsort(h, kind="stable")
         self.hashes, self.owners = h[order], o[order]
         self.bits = max(12, min(24, int(len(h)).bit_length() + 6))
-        self.seen = np.zeros(1 << self.bits, bool)
-        self.seen[(self.hashes >> _U(64 - self.bits)).astype(np.int64)] = True
-        self.short = any(len(next(iter(s))) < n for s in self.sets)
+        self.seen = self._seen()
+
+    def _seen(self) -> np.ndarray:
+        """Whether any signature begins with so many bits; 16 MB at most."""
+        seen = np.zeros(1 << self.bits, bool)
+        seen[(self.hashes >> _U(64 - self.bits)).astype(np.int64)] = True
+        return seen
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k not in ("seen", "held")}
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update(state)
+        self.held, self.seen = OrderedDict(), self._seen()
+
+    def shingles_of(self, k: int) -> set:
+        """The distinct shingles of the k-th item."""
+        if k in self.held:
+            self.held.move_to_end(k)
+        else:
+            self.held[k] = set(shingles(self.texts[k].split(" "), self.n))
+            if len(self.held) > HELD:
+                self.held.popitem(last=False)
+        return self.held[k]
 
     def matches(self, text: str) -> list[tuple[int, float, int]]:
         """(item, share of its shingles that the text has, their number), for shares from the threshold on."""
@@ -118,8 +150,8 @@ class Index:
             return []
         found: set[int] = set()
         widths = range(1, self.n + 1) if self.short else (self.n,)
-        h = [shingle_hashes(w, k) for k in widths]
-        for some in h:
+        for k in widths:
+            some = shingle_hashes(w, k)
             some = some[self.seen[(some >> _U(64 - self.bits)).astype(np.int64)]]
             if len(some):
                 first, last = np.searchsorted(self.hashes, some, "left"), np.searchsorted(self.hashes, some, "right")
@@ -130,8 +162,9 @@ class Index:
         own = {s for k in widths for s in (shingles(w, k) if len(w) >= k else ())} or set(shingles(w, self.n))
         out = []
         for k in sorted(found):
-            if len(own) >= self.fewest[k] and (hits := len(self.sets[k] & own)) >= needed(len(self.sets[k]), self.threshold):
-                out.append((self.ids[k], hits / len(self.sets[k]), len(self.sets[k])))
+            n = int(self.sizes[k])
+            if len(own) >= self.fewest[k] and (hits := len(self.shingles_of(k) & own)) >= needed(n, self.threshold):
+                out.append((self.ids[k], hits / n, n))
         return out
 
 
@@ -169,27 +202,40 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _by_join(d: DataFrame, i: DataFrame, n: int, threshold: float, out: str) -> DataFrame:
-    """The same where the items are too many to send about: shingle hashes of documents meet signatures in a join."""
+    """The same where the items are too many to send about: shingle hashes of documents meet signatures in a join.
+
+    A sieve of the signatures, of fixed size, goes to every executor, so that of a document's hashes only those are dealt out that an item may have.
+    """
     d = d.withColumn("d_row", F.monotonically_increasing_id())
     i = i.withColumn("i_row", F.monotonically_increasing_id())
     d, i = common.checkpointed(d), common.checkpointed(i)
 
-    def hashed(column: str, signature: bool):
-        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in common.slices(batches):
-                for row, t in zip(b.column(column).to_pylist(), common.texts(b), strict=True):
-                    w = words(t)
-                    widths = (n,) if signature else range(1, n + 1)
-                    h = np.unique(np.concatenate([shingle_hashes(w, k) for k in widths])) if w else np.zeros(0, np.uint64)
-                    if signature and w:
-                        h = h[: class_of(len(set(shingles(w, n))), threshold).length]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), row), pa.int64()), pa.array(h.astype(np.int64), pa.int64())], names=[column, "h"])
-
-        return f
-
-    left = d.select("d_row", "text").mapInArrow(hashed("d_row", False), "d_row long, h long")
-    right = i.select("i_row", "text").mapInArrow(hashed("i_row", True), "i_row long, h long")
-    met = left.join(right, "h").select("d_row", "i_row").distinct()
+    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches):
+            for row, t in zip(b.column("i_row").to_pylist(), common.texts(b), strict=True):
+                w = words(t)
+                h = np.unique(shingle_hashes(w, n))[: class_of(len(set(shingles(w, n))), threshold).length] if w else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), row), pa.int64()), pa.array(h.view(np.int64)), pa.array(np.full(len(h), len(w) < n), pa.bool_())], names=["i_row", "h", "short"])
+
+    right = common.checkpointed(i.select("i_row", "text").mapInArrow(signatures, "i_row long, h long, short boolean"))
+    word = F.shiftrightunsigned("h", 64 - SIEVE_BITS + 6)
+    bits = right.groupBy(word.alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(h, {64 - SIEVE_BITS}) & 63 AS INT))")).alias("bits")).toArrow()
+    sieve = np.zeros(1 << (SIEVE_BITS - 6), np.uint64)
+    sieve[bits.column("w").to_numpy()] = bits.column("bits").to_numpy().view(np.uint64)
+    shared = d.sparkSession.sparkContext.broadcast((sieve, bool(right.where("short").limit(1).count())))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve, short = shared.value
+        for b in common.slices(batches):
+            for row, t in zip(b.column("d_row").to_pylist(), common.texts(b), strict=True):
+                w = words(t)
+                h = np.concatenate([shingle_hashes(w, k) for k in (range(1, n + 1) if short else (n,))]) if w else np.zeros(0, np.uint64)
+                at = h >> _U(64 - SIEVE_BITS)
+                h = np.unique(h[(sieve[(at >> _U(6)).astype(np.int64)] >> (at & _U(63)) & _U(1)).astype(bool)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), row), pa.int64()), pa.array(h.view(np.int64))], names=["d_row", "h"])
+
+    left = d.select("d_row", "text").mapInArrow(hashed, "d_row long, h long")
+    met = common.checkpointed(left.join(right.select("i_row", "h"), "h").select("d_row", "i_row").distinct())
     both = met.join(d.withColumnRenamed("text", "d_text"), "d_row").join(i.withColumnRenamed("text", "i_text"), "i_row").select("doc_id", "item_id", "d_text", "i_text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +256,7 @@ def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_i
     if not _small(i, "text", broadcast_chars):
         rows = common.checkpointed(docs.withColumn("__tm_row", F.monotonically_increasing_id()))
         bad = contaminated(rows, items, "__tm_row", text_col, item_col, item_text_col, n, threshold, broadcast_chars)
-        return rows.join(bad.select(F.col("doc_id").alias("__tm_row")).distinct(), "__tm_row", "left_anti").drop("__tm_row")
+        return common.without(rows, bad.select(F.col("doc_id").alias("__tm_row")), "__tm_row").drop("__tm_row")
     shared = spark.sparkContext.broadcast(Index([tuple(r) for r in i.collect()], n, threshold))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
