@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,9 +40,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """df, written to the shared folder as Parquet and read again."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}.parquet"
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders of any store that Spark writes to."""
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def dealt(df: DataFrame, parts: int) -> list[DataFrame]:
+    """df in so many parts by the files that its rows come from, so that each part reads its own files alone; as a whole where it doesn't come from files."""
+    if not df.inputFiles():
+        return [df]
+    try:
+        of = F.pmod(F.xxhash64(F.col("_metadata.file_path")), F.lit(parts))
+        return [df.where(of == k) for k in range(parts)]
+    except AnalysisException:  # computed rows of files don't know their file
+        return [df]
+
+
+def written(df: DataFrame, name: str, compression: str = "snappy", path: str | None = None) -> DataFrame:
+    """df, written to the shared folder (or path) as Parquet and read again."""
+    path = path or new_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -14,6 +14,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +94,8 @@ def _predictors(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 #: Frames of BLOCK samples that are worked on at once.
 RUN = 1024
+#: Parts of the input that digests() stores one after another.
+PARTS = 4
 #: Points that a seek table can hold.
 MOST_POINTS = ((1 << 24) - 1) // 18
 
@@ -538,10 +541,17 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Sizes, checksums and features of every document as stored and read back. Equal texts have equal values.
 
-    Streams are written to the shared folder, read and decoded from there; so are the PCM blocks, which the digests are taken of. Null text is the empty text;
-    ids may be null or repeat; no documents: no rows. Further columns are left out.
+    Streams are written to the shared folder, read and decoded from there; so are the PCM blocks, which the digests are taken of. Both are larger than
+    the compressed texts, so this is done in PARTS parts of the input's files, and what a part has stored is deleted once its digests are. Null text is
+    the empty text; ids may be null or repeat; no documents: no rows. Further columns are left out.
     """
-    return digests_of(common.written(pcm(common.written(stored(docs, id_col, text_col), "media")), "pcm", "zstd"))
+    spark, out = docs.sparkSession, []
+    for part in common.dealt(docs, PARTS):
+        paths = [common.new_path(spark, name) for name in ("media", "pcm")]
+        media = common.written(stored(part, id_col, text_col), "media", path=paths[0])
+        out.append(common.checkpointed(digests_of(common.written(pcm(media), "pcm", "zstd", paths[1]))))
+        common.delete(spark, *paths)
+    return reduce(DataFrame.unionAll, out)
 
 
 def digests_of(decoded: DataFrame) -> DataFrame:
