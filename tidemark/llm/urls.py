@@ -54,7 +54,10 @@ def ruled(host, path, rules=RULES):
 def grams(text):
     """The rows of ORDER characters that end at each character of a text, the last being an end mark."""
     chars = F.split(F.concat(F.lit("\x02" * (ORDER - 1)), text, F.lit("\x03")), "")
-    return F.transform(F.sequence(F.lit(0), F.size(chars) - ORDER), lambda i: F.concat(*(F.get(chars, i + k) for k in range(ORDER))))
+    n = F.size(chars) - ORDER + 1
+    # the characters' array beside itself, moved on: made so few times for each text, whatever its length
+    beside = F.arrays_zip(*(F.slice(chars, F.lit(k + 1), n).alias(f"c{k}") for k in range(ORDER)))
+    return F.transform(beside, lambda z: F.concat(*(z[f"c{k}"] for k in range(ORDER))))
 
 
 def ratios(counted: DataFrame) -> DataFrame:
@@ -97,15 +100,16 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("__tm_url")).select("page_id", host.alias("host"), path.alias("path"), F.coalesce("__tm_url", F.lit("")).alias("text"))
     own = own.withColumn("k", ruled(F.col("host"), F.col("path"), rules))
     allow = [k for k, r in enumerate(rules) if r.verdict == "allow"]
-    texts = common.checkpointed(own.groupBy("text").agg(F.count_if(F.col("k").isin(allow)).alias("a"), F.count_if(F.col("k").isNotNull() & ~F.col("k").isin(allow)).alias("r")))
+    texts = own.groupBy("text").agg(F.count_if(F.col("k").isin(allow)).alias("a"), F.count_if(F.col("k").isNotNull() & ~F.col("k").isin(allow)).alias("r"))
+    texts = common.checkpointed(texts.withColumn("t", F.monotonically_increasing_id()))  # n-grams carry this number, not the text
     test = F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(5)) == 0
-    each = texts.select("text", "a", "r", test.alias("test"), F.explode(grams(F.col("text"))).alias("gram"))
+    each = texts.select("t", "a", "r", test.alias("test"), F.explode(grams(F.col("text"))).alias("gram"))
     counted = common.checkpointed(each.groupBy("gram").agg(*(F.sum(k).alias(k) for k in "ar"), *(F.sum(F.when(F.col("test"), 0).otherwise(F.col(k))).alias(f"{k}4") for k in "ar")))
     tested = texts.where(test & (F.col("a") + F.col("r") > 0))
-    held = tested.select("text", F.explode(grams(F.col("text"))).alias("gram")).join(ratios(counted.select("gram", F.col("a4").alias("a"), F.col("r4").alias("r"))), "gram").groupBy("text").agg(F.avg("ratio").alias("score"))
-    at = limit(tested.join(held, "text").select("score", (F.col("a") >= F.col("r")).alias("allowed")))
+    held = tested.select("t", F.explode(grams(F.col("text"))).alias("gram")).join(ratios(counted.select("gram", F.col("a4").alias("a"), F.col("r4").alias("r"))), "gram").groupBy("t").agg(F.avg("ratio").alias("score"))
+    at = limit(tested.join(held, "t").select("score", (F.col("a") >= F.col("r")).alias("allowed")))
     table = common.checkpointed(ratios(counted.select("gram", "a", "r")))
-    scores = common.checkpointed(each.join(table, "gram").groupBy("text").agg(F.avg("ratio").alias("score")))
+    scores = common.checkpointed(each.select("t", "gram").join(table, "gram").groupBy("t").agg(F.avg("ratio").alias("score")).join(texts.select("t", "text"), "t").select("text", "score"))
     out = own.join(scores, "text", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     by_rule = F.get(F.array(*(F.lit(r.verdict) for r in rules)), F.col("k"))
     return out.select("page_id", "host", "path", F.get(F.array(*(F.lit(r.text) for r in rules)), F.col("k")).alias("rule"), F.coalesce(by_rule, F.when(F.col("score") >= at, "allow").otherwise("block")).alias("verdict"), "score")
