@@ -74,6 +74,99 @@ def test_additive_model_finds_a_bend_and_a_pair():
     assert ((model.score(x[3000:]) > 0.5) == y[3000:]).mean() > 0.85
 
 
+def booster(x, y):
+    """The additive model spelled out: rows one by one, cuts as they are made by the operator; scores of rows by their features."""
+    from itertools import combinations
+    from math import exp, log
+
+    place = lambda cuts, v: sum(v >= c for c in cuts)
+    sigmoid = lambda t: 1 / (1 + exp(-t))
+    features = range(x.shape[1])
+    cuts, coarse = ([quality._cuts(x[:, i], bins) for i in features] for bins in (quality.BINS, quality.PAIR_BINS))
+    at, wide = [[place(cuts[i], r[i]) for r in x] for i in features], [[place(coarse[i], r[i]) for r in x] for i in features]
+    prior = (sum(y) + 0.5) / (len(y) + 1)
+    total, tables = [log(prior / (1 - prior))] * len(y), [[0.0] * (len(c) + 1) for c in cuts]
+
+    def gradients(cells):
+        out = {}
+        for c, t, want in zip(cells, total, y, strict=True):
+            g, h, n = out.get(c, (0.0, 0.0, 0))
+            out[c] = (g + sigmoid(t) - want, h + sigmoid(t) * (1 - sigmoid(t)), n + 1)
+        return out
+
+    added = lambda own, cells: tuple(sum(own.get(c, (0, 0, 0))[k] for c in cells) for k in range(3))
+    worth = lambda s: s[0] ** 2 / (s[1] + 1)
+    for _ in range(quality.ROUNDS):
+        for i in features:
+            own, borders = gradients(at[i]), [0, len(tables[i])]
+            for _ in range(2):
+                best = (1e-6, None)
+                for a, b in zip(borders, borders[1:], strict=False):
+                    for c in range(a + 1, b):
+                        low, high, both = (added(own, range(*r)) for r in ((a, c), (c, b), (a, b)))
+                        if min(low[2], high[2]) >= quality.LEAST_IN_LEAF and (gain := worth(low) + worth(high) - worth(both)) > best[0] + 1e-12:
+                            best = (gain, c)
+                if best[1] is None:
+                    break
+                borders = sorted([*borders, best[1]])
+            for a, b in zip(borders, borders[1:], strict=False):
+                g, h, _ = added(own, range(a, b))
+                for c in range(a, b):
+                    tables[i][c] -= quality.RATE * g / (h + 1)
+                    total = [t - quality.RATE * g / (h + 1) if k == c else t for t, k in zip(total, at[i], strict=True)]
+
+    def quarters(a, b):
+        own, best = gradients(list(zip(wide[a], wide[b], strict=True))), (0.0, None)
+        n, m = len(coarse[a]) + 1, len(coarse[b]) + 1
+        whole = worth(added(own, own))
+        for i in range(1, n):
+            for j in range(1, m):
+                parts = [[(p, q) for p in r for q in s] for r in (range(i), range(i, n)) for s in (range(j), range(j, m))]
+                gain = sum(worth(added(own, p)) for p in parts) - whole
+                if gain > best[0] + 1e-12:
+                    best = (gain, {c: -(v := added(own, p))[0] / (v[1] + 1) for p in parts for c in p})
+        return best
+
+    pairs = {(a, b): {} for g, a, b in sorted(((quarters(a, b)[0], a, b) for a, b in combinations(features, 2)), reverse=True)[: quality.PAIRS] if g > 0}
+    for _ in range(quality.PAIR_ROUNDS):
+        for (a, b), table in pairs.items():
+            step = quarters(a, b)[1] or {}
+            for c, v in step.items():
+                table[c] = table.get(c, 0.0) + quality.RATE * v
+            total = [t + quality.RATE * step.get(c, 0.0) for t, c in zip(total, zip(wide[a], wide[b], strict=True), strict=True)]
+    base = log(prior / (1 - prior))
+    return lambda r: sigmoid(base + sum(tables[i][place(cuts[i], r[i])] for i in features) + sum(t.get((place(coarse[a], r[a]), place(coarse[b], r[b])), 0.0) for (a, b), t in pairs.items()))
+
+
+def test_additive_model_spelled_out(monkeypatch):
+    """Scores against loops over rows and bins."""
+    for name, value in (("BINS", 6), ("PAIR_BINS", 3), ("PAIRS", 2), ("ROUNDS", 5), ("PAIR_ROUNDS", 3), ("LEAST_IN_LEAF", 4)):
+        monkeypatch.setattr(quality, name, value)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(160, 3)).round(1)
+    y = ((x[:, 0] > 0.2) ^ ((x[:, 1] > 0) & (x[:, 2] > 0)) ^ (rng.random(160) < 0.1)).astype(float)
+    model, plain = quality.fit(x, y), booster(x, y)
+    assert len(model.pairs) == 2
+    other = rng.normal(size=(50, 3)).round(1)
+    assert np.allclose(model.score(np.concatenate([x, other])), [plain(r) for r in np.concatenate([x, other])], atol=1e-9)
+
+
+def test_quality_scores_spelled_out(spark, tiny):
+    """The whole query's scores: features one by one, the model from the rows that the contract lets learn."""
+    docs, labels = common.table(spark, tiny, "documents"), common.table(spark, tiny, "labels")
+    texts, y = {r.doc_id: r.text or "" for r in docs.collect()}, {r.doc_id: r.quality for r in labels.collect()}
+    own = [i for i in sorted(texts) if i in y and not held(i, 5, 0)]
+    model = quality.fit(np.array([quality.features(texts[i]) for i in own]), np.array([y[i] for i in own], float))
+    got = {r.doc_id: r.score for r in quality.quality(docs, labels).collect()}
+    assert all(abs(got[i] - model.score(np.array([quality.features(t)]))[0]) < 1e-9 for i, t in texts.items())
+    for t in ["", "a b a b a", "Words, #1 of 2 | lines\nwords, of lines"]:
+        f = dict(zip(quality.NAMES, quality.features(t), strict=True))
+        w = t.split()
+        if t:
+            ink = sum(not c.isspace() for c in t)
+            assert np.isclose(f["log_words"], np.log1p(len(w))) and np.isclose(f["distinct_words"], len(set(w)) / len(w)) and np.isclose(f["digits"], sum(c.isdigit() for c in t) / ink)
+
+
 def test_ftrl_is_sparse_and_right():
     rng = np.random.default_rng(4)
     good, noise = np.arange(1, 6), np.arange(100, 600)

@@ -177,7 +177,11 @@ def _train(featured: DataFrame, ids: list[tuple[int, int]]) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Model:
-    """A model from the labelled documents whose crc32 of the id modulo 5 isn't 0."""
+    """A model from the labelled documents whose crc32 of the id modulo 5 isn't 0.
+
+    A null label, or a label of a null id, teaches nothing; of several labels of an id the largest counts, of several texts the one with the least features.
+    Without usable labels the model gives 0.5 to all.
+    """
     ids = sample_ids(labels, label, common.crc_mod(id_col, 5) == 0, rows, id_col)
     if not ids:
         return _train(docs, ids)
@@ -206,7 +210,11 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """docs, all columns as they are, that the model scores at threshold or above."""
+    """docs, all columns as they are, that the model scores at threshold or above.
+
+    Null text is scored as the empty text. Ids aren't looked at, so null and repeated ones, and rows that repeat, stay or go by their texts alone; equal
+    texts share their fate. A score equal to the threshold stays. No documents: no rows.
+    """
     common.shipped(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
