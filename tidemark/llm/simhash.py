@@ -112,13 +112,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without all but one document of each group: the one with the smallest id stays (a null id only where there's no other).
 
-    All columns stay as they are. Of rows with equal id and fingerprint one stays.
+    All columns stay as they are. Null and empty texts are one group. Of rows with equal id and fingerprint one stays. No documents: no rows.
+    Rows are stored once with their fingerprint and a number of their own; what is decided on is ids, fingerprints and numbers alone, and only rows
+    that may go are moved.
     """
-    marked = with_fingerprint(docs, text_col)
-    keys = common.checkpointed(marked.select(F.col(id_col).alias("id"), F.col("__tm_fp").alias("fp")))
-    order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("fp").alias("fp"))
-    best = keys.groupBy("fp").agg(F.min(order).alias("best"))
-    best = common.checkpointed(best)
-    chosen = best.join(groups(best), "fp").groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.id").alias("__tm_id"), F.col("best.fp").alias("__tm_best"))
-    kept = marked.join(chosen, F.col(id_col).eqNullSafe(F.col("__tm_id")) & (F.col("__tm_fp") == F.col("__tm_best")))
-    return kept.dropDuplicates(["__tm_id", "__tm_best"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    marked = common.written(with_fingerprint(docs, text_col).withColumn("__tm_row", F.monotonically_increasing_id()), "fingerprinted")
+    keys = marked.select(F.col(id_col).alias("id"), F.col("__tm_fp").alias("fp"), F.col("__tm_row").alias("row"))
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("fp").alias("fp"), F.col("row").alias("row"))
+    best = common.checkpointed(keys.groupBy("fp").agg(F.min(order).alias("best")))
+    chosen = best.join(groups(best), "fp").groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.row").alias("__tm_row"))
+    gone = keys.select(F.col("row").alias("__tm_row")).join(chosen, "__tm_row", "left_anti")
+    return common.without(marked, gone, "__tm_row").select(*(F.col(f"`{c}`") for c in docs.columns))
