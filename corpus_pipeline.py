@@ -8,27 +8,42 @@ from tidemark.llm import common, decontamination, packing, pii, quality, simhash
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, trained on the labelled ones among them, does not reject."""
+    """Documents that the quality classifier, trained on the labelled ones among them, does not reject.
+
+    Null text is judged as the empty text; equal texts share their fate, whatever their ids; without labels every document stays. No documents: none.
+    """
     return quality.accepted(docs, quality.train(docs, common.table(spark, sf_dir, "labels")))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: the one with the smallest id, a null id only where there's no other.
+
+    Null and empty texts are one group; of rows alike one stays. No documents: none.
+    """
     return simhash.one_of_each(docs)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none; items without words are held by none; rows alike stay or go together. No items: every document stays.
+    """
     return decontamination.without_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind."""
+    """All documents, personal data replaced by its kind, n_chars the new length where a text changes.
+
+    Null texts stay null; rows alike stay alike and as many. No documents: none.
+    """
     return pii.redacted(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, each with its sequence and its place there."""
+    """Pieces of all documents, each with its sequence and its place there.
+
+    Null and empty texts are one piece, of the end id alone; null ids stay null; rows alike are packed as often as they stand. No documents: no pieces.
+    """
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
