@@ -29,6 +29,8 @@ from tidemark.llm import common
 ORDER = 4
 #: Cells (n-grams times languages) that one task works on at once.
 CELLS_AT_ONCE = 1_000_000
+#: Bytes of n-grams that the driver reads by one job.
+BYTES_AT_ONCE = 16_000_000
 #: One training document in so many, by a hash of its id, only sets its language's limit of acceptance; the share of them that is accepted.
 CALIBRATION, ACCEPTED = 20, 0.995
 #: A language with fewer such documents learns from all its documents, and these set its limit.
@@ -119,7 +121,10 @@ class Hashed:
         with open(path, "r+b") as f:
             f.truncate(offset + sum(np.dtype(kind).itemsize * math.prod(shape) for kind, shape in cls.shapes(size, wide)))  # zeros: the last row stays so
         own, done = cls.at(path, offset, size, wide, "r+"), 0
-        for r in hashed.orderBy("h").mapInArrow(_packed, "h binary, row binary").toLocalIterator(prefetchPartitions=True):
+        parts = hashed.orderBy("h").mapInArrow(_packed, "h binary, row binary").rdd
+        n = parts.getNumPartitions()
+        step = max(1, BYTES_AT_ONCE * n // (max(1, size) * (8 + 4 * wide)))  # partitions read by one job
+        for r in (r for a in range(0, n, step) for r in parts.context.runJob(parts, lambda rows: rows, range(a, min(n, a + step)))):
             keys = np.frombuffer(r.h, np.int64).view(np.uint64) ^ _TOP
             own.keys[done : done + len(keys)] = keys
             own.rows[done : done + len(keys)] = np.frombuffer(r.row, np.float32).reshape(-1, wide)
