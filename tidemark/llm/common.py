@@ -79,6 +79,15 @@ def sieve(ids: DataFrame, column: str) -> DataFrame:
     return ids.select(F.shiftright(h, 6).alias("__tm_w"), F.expr("1L").alias("one"), h.bitwiseAND(F.lit(63)).cast("int").alias("b")).groupBy("__tm_w").agg(F.bit_or(F.expr("shiftleft(one, b)")).alias("__tm_bits"))
 
 
+def sieved(rows: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """rows whose column is surely not among the ids, and the others: those that are and, as far as the sieve is full, some that aren't. No row is moved."""
+    h = F.shiftrightunsigned(F.xxhash64(column), 64 - SIEVE_BITS)
+    marked = rows.withColumn("__tm_w", F.shiftright(h, 6)).join(F.broadcast(sieve(ids, column)), "__tm_w", "left")
+    maybe = F.coalesce(F.getbit("__tm_bits", h.bitwiseAND(F.lit(63)).cast("int")), F.lit(0)) == 1
+    own = [F.col(f"`{c}`") for c in rows.columns]
+    return marked.where(~maybe).select(*own), marked.where(maybe).select(*own)
+
+
 def without(rows: DataFrame, gone: DataFrame, column: str) -> DataFrame:
     """rows whose column (a number, never null) is not among gone, a narrow table of as many ids as there may be.
 
@@ -86,11 +95,8 @@ def without(rows: DataFrame, gone: DataFrame, column: str) -> DataFrame:
     others, meets the ids in a join. With so many ids that the sieve is full, all rows meet them: slower, and the same rows.
     """
     gone = checkpointed(gone.select(column).distinct())
-    h = F.shiftrightunsigned(F.xxhash64(column), 64 - SIEVE_BITS)
-    marked = rows.withColumn("__tm_w", F.shiftright(h, 6)).join(F.broadcast(sieve(gone, column)), "__tm_w", "left")
-    maybe = F.coalesce(F.getbit("__tm_bits", h.bitwiseAND(F.lit(63)).cast("int")), F.lit(0)) == 1
-    back = lambda df: df.select(*(F.col(f"`{c}`") for c in rows.columns))
-    return back(marked.where(~maybe)).unionAll(back(marked.where(maybe)).join(gone, column, "left_anti").select(*(F.col(f"`{c}`") for c in rows.columns)))
+    stay, maybe = sieved(rows, gone, column)
+    return stay.unionAll(maybe.join(gone, column, "left_anti").select(*(F.col(f"`{c}`") for c in rows.columns)))
 
 
 def shipped(spark: SparkSession) -> None:

@@ -50,15 +50,26 @@ def addressed(docs: DataFrame, text_col: str = "text", name: str = "blob") -> Da
     return docs.withColumn(name, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
 
 
+#: Blobs that were seen by some rules alone: up to so many are sent to every executor (64 digits and the rules' names each), more meet the texts in a join.
+FEW_BLOBS = 20_000
+
+
 def unseen(blobs: DataFrame, ledger: DataFrame | None, rules=RULES) -> DataFrame:
-    """The distinct blobs (blob, text) that some rule has not seen, with todo, the keys of the rules that haven't."""
+    """The distinct blobs (blob, text) that some rule has not seen, with todo, the keys of the rules that haven't.
+
+    A sieve of the ledger's blobs, of fixed size, goes to every executor. Texts whose blobs it doesn't know are new to all rules; only of the others are the addresses
+    held against the ledger, and only texts with rules left to run are moved.
+    """
     keys = F.array(*(F.lit(r.key) for r in rules))
-    once = blobs.dropDuplicates(["blob"])
     if ledger is None:
-        return once.withColumn("todo", keys)
-    # both sides of the join go by blob, as the one text of each blob does
-    seen = ledger.where(F.col("rule").isin([r.key for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-    return once.join(seen, "blob", "left").withColumn("todo", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>")))).drop("seen").where(F.size("todo") > 0)
+        return blobs.dropDuplicates(["blob"]).withColumn("todo", keys)
+    seen = common.checkpointed(ledger.where(F.col("rule").isin([r.key for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("seen")))
+    new, known = common.sieved(blobs, seen, "blob")
+    again = known.select("blob").distinct().join(seen, "blob", "left").select("blob", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo")).where(F.size("todo") > 0)
+    again = common.checkpointed(again)
+    few = again.limit(FEW_BLOBS + 1).count() <= FEW_BLOBS
+    old = known.join(F.broadcast(again) if few else again, "blob").dropDuplicates(["blob"])
+    return new.dropDuplicates(["blob"]).withColumn("todo", keys).unionByName(old.select("blob", "text", "todo"))
 
 
 def findings(todo: DataFrame, rules=RULES) -> DataFrame:
@@ -135,11 +146,11 @@ class Ledger:
     def update(self, versions: DataFrame, text_col: str = "text") -> None:
         """Scans what the ledger hasn't of the versions' blobs: each blob once, by the rules that have not seen it."""
         blobs = addressed(versions.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))).select("blob", "text")
-        todo = unseen(blobs, self.pairs, self.rules)
+        todo = unseen(blobs, self.pairs, self.rules)  # what it reads of the ledger is stored, so it says the same below
         found = findings(todo, self.rules)
         found.select("blob", "rule", "kind", "at", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).write.mode("append").parquet(f"{self.folder}/findings")
         # of the blobs again, by their addresses alone
-        ledger_rows(unseen(blobs, self.pairs, self.rules).drop("text")).write.mode("append").parquet(f"{self.folder}/ledger")
+        ledger_rows(todo.select("blob", "todo")).write.mode("append").parquet(f"{self.folder}/ledger")
 
     def report(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """What scan() gives for the documents, by the findings alone; their blobs must have been scanned."""
