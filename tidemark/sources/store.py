@@ -184,6 +184,19 @@ class Store:
             path = place(self.spark, folder)
             rows.write.parquet(path)
             self.state = State(rows.schema, (Folder(path, rows.schema),))
+            if self._unparted():
+                self.compact()
+
+    def _bytes(self) -> int:
+        """Bytes stored; of rows outside, what Spark takes them to have, if it has any idea."""
+        s, files = self.state, Files(self.spark)
+        outside = 0 if s.outside is None else int(str(s.outside._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return (outside if outside < 1 << 62 else 0) + sum(files.bytes(f.path) for f in (*s.folders, *s.pending))
+
+    def _unparted(self) -> bool:
+        """Whether rows that aren't in buckets are more than one bucket holds."""
+        s = self.state
+        return self.mode != APPEND and (s.outside is not None or any(f.live is None for f in s.folders)) and self._bytes() > self.bucket_bytes
 
     @property
     def names(self) -> list[str]:
@@ -258,17 +271,17 @@ class Store:
         return out
 
     def settle(self) -> None:
-        """Rewrites the buckets that batches touch, if there are very many batches."""
-        if len(self.state.pending) > PENDING:
+        """Rewrites the buckets that batches touch, if there are very many batches; all rows, once, where many aren't in buckets yet."""
+        if len(self.state.pending) > PENDING or (self.state.pending and self._unparted()):
             self.compact()
 
     def compact(self) -> None:
-        s, files = self.state, Files(self.spark)
+        s = self.state
         whole = s.outside is not None or any(f.live is None for f in s.folders) or len(s.folders) > FOLDERS
         if self.mode == APPEND and s.outside is None:
             self._append()
             return
-        size = sum(files.bytes(f.path) for f in (*s.folders, *s.pending))
+        size = self._bytes()
         wanted = max(s.buckets, 1 << max(0, (size // self.bucket_bytes).bit_length()))
         changes = self.changes()
         touched = None if whole or s.buckets == 1 or wanted > s.buckets or changes is None else self.touched(changes)
