@@ -258,7 +258,7 @@ class Grouped(Recomputed):
         more = self._sums(step.change(self.source))
         if store.state.buckets > 1:
             more = step.stored(more)
-        old = matching(store.of(store.touched(more)), more, self.by)
+        old = store.under(more)
         sums, kinds = [c for c in more.columns if c not in self.by], store.state.schema
         new = old.unionByName(more).groupBy(*self.by).agg(*(F.sum(c).cast(kinds[c].dataType).alias(c) for c in sums))
         both = store.write(difference(old, new.where(F.col("__n") > 0) if self.by else new))

@@ -14,9 +14,9 @@ from pyspark.sql import types as T
 
 from tidemark.operators.delta import MaintainedView, Node, difference
 from tidemark.operators.relational import WEIGHT
-from tidemark.plans.recipe import Definition, Recipe, Select, Statement
+from tidemark.plans.recipe import Definition, Recipe, Select, Statement, single_aggregate
 from tidemark.sources.base import BaseTable, Operation
-from tidemark.sources.store import BAG, Files, Scratch, State, Store, consolidated, load, matching, place, save, signed, stored
+from tidemark.sources.store import BAG, KEYED, Files, Scratch, State, Store, consolidated, load, matching, place, save, signed, stored
 
 _NUMBERS = itertools.count()
 NONE, FULL, PARTIAL = "none", "full", "partial"
@@ -54,6 +54,69 @@ def _of(tables: Mapping[str, DataFrame], name: str) -> DataFrame | None:
     return next((tables[t] for t in tables if t.lower() == name.lower()), None)
 
 
+class Sums:
+    """Aggregates of groups that new rows follow from, given the change of the input: COUNT, whole or decimal SUM, MIN and MAX.
+
+    by: group columns and their expressions. calls: (column, kind, argument) of the others. Beside them are stored the number of the group's rows (__agg_n) and of those
+    with a value for each sum. A group has to be looked at again only if a row that held its minimum or maximum went and no new row takes its place.
+    """
+
+    def __init__(self, by: Mapping[str, str], calls: Sequence[tuple[str, str, str]], copies: Mapping[str, str]):
+        self.by, self.calls, self.copies = dict(by), list(calls), dict(copies)
+        self.more = ["COUNT(*) AS __agg_n", *(f"COUNT({x}) AS __agg_{i}" for i, (_, kind, x) in enumerate(self.calls) if kind == "sum")]
+        self.arguments = {f"__x{i}": x for i, (_, _, x) in enumerate(self.calls) if x != "*"}
+        self.extremes = [(i, c, kind) for i, (c, kind, _) in enumerate(self.calls) if kind in ("min", "max")]
+
+    def exact(self, moves: DataFrame) -> bool:
+        """Whether a value times a weight keeps all its places."""
+        values = [f"__x{i}" for i, (_, kind, _) in enumerate(self.calls) if kind == "sum"]
+        products = moves.select(*((F.col(x) * F.col(WEIGHT)).alias(x) for x in values)).schema
+        return all(not isinstance(f.dataType, T.DecimalType) or f.dataType.scale == moves.schema[f.name].dataType.scale for f in products)
+
+    def gathered(self, moves: DataFrame) -> DataFrame:
+        """One row for each group that the moves touch: what they add to counts and sums, and the extremes among what came and what went."""
+        w, out = F.col(WEIGHT), [F.sum(WEIGHT).alias("__n")]
+        for i, (_, kind, x) in enumerate(self.calls):
+            v = F.col(f"__x{i}") if x != "*" else F.lit(1)
+            if kind in ("count", "sum"):
+                out.append(F.sum(F.when(v.isNotNull(), w).otherwise(0)).alias(f"__c{i}"))
+            if kind == "sum":
+                out.append(F.sum(v * w).alias(f"__s{i}"))
+            elif kind in ("min", "max"):
+                most = F.max if kind == "max" else F.min
+                out += [most(F.when(w > 0, v)).alias(f"__in{i}"), most(F.when(w < 0, v)).alias(f"__out{i}")]
+        return consolidated(moves).groupBy(*(F.col(f"`{c}`") for c in self.by)).agg(*out)
+
+    def merged(self, gathered: DataFrame, old: DataFrame) -> DataFrame:
+        """Old and new row of each group, null where there's none, and whether the group must be looked at again."""
+        kinds = old.schema
+        before = old.select(*(F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(self.by)), F.struct(*(F.col(f"`{c}`") for c in old.columns)).alias("__old"))
+        on = reduce(lambda a, b: a & b, (gathered[f"`{c}`"].eqNullSafe(before[f"__k{i}"]) for i, c in enumerate(self.by)))
+        was = lambda c: F.col("__old").getField(c)
+        values, again = {}, F.lit(False)
+        for i, (c, kind, _) in enumerate(self.calls):
+            if kind == "count":
+                values[c] = F.coalesce(was(c), F.lit(0)) + F.col(f"__c{i}")
+            elif kind == "sum":
+                values[f"__agg_{i}"] = some = F.coalesce(was(f"__agg_{i}"), F.lit(0)) + F.col(f"__c{i}")
+                values[c] = F.when(some > 0, F.coalesce(was(c) + F.col(f"__s{i}"), was(c), F.col(f"__s{i}")))
+            else:
+                came, went, top = F.col(f"__in{i}"), F.col(f"__out{i}"), F.greatest if kind == "max" else F.least
+                values[c] = F.when(was(c).isNull(), came).when(came.isNull(), was(c)).otherwise(top(was(c), came))
+                at = (lambda a, b: a >= b) if kind == "max" else (lambda a, b: a <= b)
+                again |= F.coalesce(at(went, was(c)), F.lit(False)) & ~F.coalesce(at(came, was(c)), F.lit(False))
+        values["__agg_n"] = F.coalesce(was("__agg_n"), F.lit(0)) + F.col("__n")
+        values |= {c: F.col(f"`{c}`") for c in self.by} | {c: F.col(f"`{of}`") for c, of in self.copies.items()}
+        new = F.when(values["__agg_n"] > 0, F.struct(*(values[f.name].cast(f.dataType).alias(f.name) for f in kinds)))
+        return gathered.join(before, on, "left").select("__old", new.alias("__new"), (again & (values["__agg_n"] > 0)).alias("__again"))
+
+    @staticmethod
+    def signed(merged: DataFrame) -> DataFrame:
+        """The signed rows of groups that changed."""
+        rows = [F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("row"), F.lit(w).cast("long").alias(WEIGHT))) for c, w in (("__old", -1), ("__new", 1))]
+        return merged.where(~F.col("__old").eqNullSafe(F.col("__new"))).select(F.inline(F.array_compact(F.array(*rows)))).select("row.*", WEIGHT)
+
+
 class Filling:
     """Rows of the keys that a partial view was asked for at one time; those of live keys count."""
 
@@ -73,6 +136,7 @@ class View:
         self.engine, self.name, self.plan, self.materialize, self.public, self.most_keys, self.most_bytes, self.names = engine, name, plan, materialize, public, most_keys, most_bytes, dict(names or {})
         self.keys = [f"__key{i}" for i in range(len(plan.parameters))] if isinstance(plan, Select) else []
         self.maintained: MaintainedView | None = None
+        self.sums: Sums | None = None
         self.store: Store | None = None
         self.filled: OrderedDict[tuple, Filling] = OrderedDict()
         known = [*(self.names or [n for n in engine.names() if n != name])]
@@ -86,7 +150,11 @@ class View:
         else:
             self.plain = self._compute(tables)
             if materialize == FULL:
-                self.store = Store(self.plain, BAG, (), self.keys, engine.folder, own=True, state=states[0] if states else None)
+                self.sums = self._sums()
+                group = list(self.sums.by) if self.sums is not None else []
+                if self.sums is not None:
+                    self.plain = self._compute(tables)
+                self.store = Store(self.plain, KEYED if group else BAG, group, self.keys or group, engine.folder, own=True, state=states[0] if states else None)
 
     def stores(self) -> list[Store]:
         return self.maintained.stores() if self.maintained is not None else [self.store] if self.store is not None else []
@@ -96,11 +164,12 @@ class View:
         return {t: tables[n] for t, n in self.inputs.items() if n in tables}
 
     def compute(self, tables: Mapping[str, DataFrame]) -> DataFrame:
-        """All rows over tables by the engine's names."""
-        return self._compute(self._seen(tables))
+        """All rows over tables by the engine's names, without what is stored beside them."""
+        out = self._compute(self._seen(tables))
+        return out.drop(*(c for c in out.columns if c.startswith("__agg")))
 
     def _compute(self, seen: Mapping[str, DataFrame]) -> DataFrame:
-        return unique(bound(self.engine.spark, self.plan.sql(ordered=True), seen, self.inputs))
+        return unique(bound(self.engine.spark, self.plan.sql(self.sums.more if self.sums is not None else (), ordered=True), seen, self.inputs))
 
     def same_as(self, other: View) -> bool:
         """Whether both have the same text, or Spark's optimiser makes the same plan of both."""
@@ -118,7 +187,7 @@ class View:
 
     @property
     def columns(self) -> list[str]:
-        return [c for c in self.plain.columns if not c.startswith(("__key", "__ord"))]
+        return [c for c in self.plain.columns if not c.startswith(("__key", "__ord", "__agg"))]
 
     def _shown(self, rows: DataFrame) -> DataFrame:
         """The view's own columns, in the order that its SQL asks for."""
@@ -158,13 +227,15 @@ class View:
                 found = self._moves(plan, before, after, changes, names)
                 if found is not None:
                     return consolidated(found)
+            elif self.sums is not None and (out := self._summed(before, after, changes)) is not None:
+                return out
             elif (by := self._touching()) is not None:
                 own = [f"{e} AS `{n}`" for n, e in by.items() if n not in self.keys] or ["1 AS __one"]
                 inner = Select(f"SELECT {', '.join(own)} FROM {plan.clause('FROM')}" + (f" WHERE {plan.clause('WHERE')}" if "WHERE" in plan.clauses else ""))
                 found = self._moves(inner, before, after, changes, list(by))
                 if found is not None:
                     keys = self.engine.scratch.stored(found.select(*(F.col(f"`{c}`") for c in by)).distinct())
-                    only = self.store.touched(keys) if self.store is not None and self.keys and set(self.keys) <= set(by) else None
+                    only = self.store.touched(keys) if self.store is not None and self.store.by and set(self.store.by) <= set(by) else None
                     old = self.store.of(only) if self.store is not None else self._compute(before)
                     return consolidated(difference(matching(old, keys, list(by)), matching(self._compute(after), keys, list(by))))
         return consolidated(difference(self.store.rows if self.store is not None else self._compute(before), self._compute(after)))
@@ -219,6 +290,49 @@ class View:
     def _under(rows: DataFrame, keys: DataFrame, by: Sequence[str]) -> DataFrame:
         return matching(rows, keys.toDF(*by), by)
 
+    def _sums(self) -> Sums | None:
+        """How new groups follow from old ones and the change; None where there's no such way."""
+        plan = self.plan
+        if plan.compound or plan.distinct or not plan.aggregates or "HAVING" in plan.clauses or any(plan.limits) or plan.joins() is None:
+            return None
+        by, texts = self._group_columns(), plan.expressions()
+        if not by or texts is None or len(texts) != len(self.columns):
+            return None
+        own, calls, copies = {e.lower(): c for c, e in by.items()}, [], {}
+        for c, text in [*zip(self.columns, texts, strict=True), *((f"__ord{i}", x) for i, (x, _) in enumerate(plan.order))]:
+            found = single_aggregate(text)
+            if c in by:
+                continue
+            if found is not None:
+                if found[0] == "sum" and not isinstance(self.plain.schema[c].dataType, (T.LongType, T.DecimalType)):
+                    return None
+                calls.append((c, *found))
+            elif text.lower() in own:
+                copies[c] = own[text.lower()]
+            else:
+                return None
+        return Sums(by, calls, copies)
+
+    def _summed(self, before, after, changes) -> DataFrame | None:
+        """Signed rows of groups by what moves in the input; the input itself is read for groups alone that lose their minimum or maximum."""
+        plan, sums, scratch = self.plan, self.sums, self.engine.scratch
+        own = [f"{e} AS `{n}`" for n, e in sums.by.items() if n not in self.keys] + [f"{x} AS {c}" for c, x in sums.arguments.items()]
+        inner = Select(f"SELECT {', '.join(own or ['1 AS __one'])} FROM {plan.clause('FROM')}" + (f" WHERE {plan.clause('WHERE')}" if "WHERE" in plan.clauses else ""))
+        moves = self._moves(inner, before, after, changes, [*sums.by, *sums.arguments])
+        if moves is None or not sums.exact(moves):
+            return None
+        gathered, names = scratch.stored(sums.gathered(moves)), list(sums.by)
+        merged = sums.merged(gathered, self.store.under(gathered))
+        if not sums.extremes:
+            return sums.signed(merged)
+        merged = scratch.stored(merged)
+        lost = merged.where("__again")
+        if lost.isEmpty():
+            return sums.signed(merged)
+        was = lost.select("__old.*")
+        keys = scratch.stored(was.select(*(F.col(f"`{c}`") for c in names)))
+        return sums.signed(merged.where("NOT __again")).unionAll(difference(was, matching(self._compute(after), keys, names)))
+
     def _touching(self) -> dict[str, str] | None:
         """Columns (and expressions for them) such that a changed input row only matters to rows with its values there."""
         plan, keys = self.plan, dict(zip(self.keys, self.plan.parameters, strict=True))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.relational import WEIGHT
-from tidemark.sources.store import APPEND, KEYED, Scratch, State, Store, matching
+from tidemark.sources.store import APPEND, KEYED, Scratch, State, Store
 
 INSERT, DELETE, UPDATE, UPSERT = "insert", "delete", "update", "upsert"
 
@@ -111,9 +111,11 @@ class BaseTable:
         if not self.key:
             change = self.store.write(ops.where(F.col("_op") == INSERT).select(*names, F.lit(1).alias(WEIGHT)))
         else:
-            keys = ops.select(*(F.col(f"`{c}`") for c in self.key)).distinct()
-            old = matching(self.store.of(self.store.touched(keys)), keys, self.key)
-            change = self.store.write(folded(ops, old, self.schema, self.key, set(added)))
+            scratch = Scratch(self.spark, self.folder)
+            try:
+                change = self.store.write(folded(ops, scratch.stored(self.store.under(ops)), self.schema, self.key, set(added)))
+            finally:
+                scratch.clear()
         self.store.settle()
         return change
 

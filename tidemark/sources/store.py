@@ -27,6 +27,9 @@ PENDING = 6
 FOLDERS = 8
 #: Bytes stored for each bucket; their number is a power of two.
 BUCKET_BYTES = 64 << 20
+#: Keys that are named in a filter, which Parquet's page indices can use: rows lie in the order of their key in each bucket.
+FEW_KEYS = 200
+_NAMED = (T.IntegralType, T.StringType, T.DateType, T.DecimalType)
 KEYED, BAG, APPEND = "keyed", "bag", "append"
 _BUCKET = "__b"
 
@@ -254,13 +257,33 @@ class Store:
             if not self.key:  # one row at most
                 last = changes.where(F.col("__layer") == len(self.state.pending) - 1)
                 return last.where(F.col(WEIGHT) > 0).select(*names)
-            keys = [F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(self.key)]
-            last = changes.groupBy(*keys).agg(F.max_by(F.struct(*names, WEIGHT), F.struct("__layer", WEIGHT)).alias("__row")).select("__row.*")
-            return matching(base, last, self.key, "left_anti").unionAll(last.where(F.col(WEIGHT) > 0).select(*names))
+            return self._merged(base, changes)
         net = consolidated(changes.drop("__layer"))
         again = expanded(consolidated(signed(matching(base, net, self.names)).unionAll(net)))
         return matching(base, net, self.names, "left_anti").unionAll(again.select(*names))
 
+    def under(self, keys: DataFrame) -> DataFrame:
+        """Rows of a keyed store whose key is among the keys: both what lies in buckets and the batches are cut down to them before they are merged."""
+        if not self.key:
+            return self.of()
+        keys = keys.select(*(F.col(f"`{c}`") for c in self.key)).distinct()
+        only, named = self.touched(keys), None
+        if len(self.key) == 1 and isinstance(self.state.schema[self.key[0]].dataType, _NAMED):
+            few = [r[0] for r in keys.limit(FEW_KEYS + 1).collect()]
+            if len(few) <= FEW_KEYS:
+                c, some = F.col(f"`{self.key[0]}`"), [v for v in few if v is not None]
+                named = (c.isin(some) if some else F.lit(False)) | (c.isNull() if len(some) < len(few) else F.lit(False))
+        cut = lambda df: matching(df, keys, self.key) if named is None else df.where(named)
+        base, changes = cut(self._base(only)), self.changes(only)
+        return base if changes is None else self._merged(base, cut(changes))
+
+    def _merged(self, base: DataFrame, changes: DataFrame) -> DataFrame:
+        """Of each key the last batch's row, of other keys the base's."""
+        names = [f"`{c}`" for c in self.names]
+        keys = [F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(self.key)]
+        last = changes.groupBy(*keys).agg(F.max_by(F.struct(*names, WEIGHT), F.struct("__layer", WEIGHT)).alias("__row")).select("__row.*")
+        return matching(base, last, self.key, "left_anti").unionAll(last.where(F.col(WEIGHT) > 0).select(*names))
+
     def write(self, change: DataFrame) -> DataFrame:
         """Takes in signed rows, which are stored; returns them as stored. The rows are as after the batch from then on."""
         change = change.select(*(F.col(f"`{c}`") for c in self.names), F.col(WEIGHT).cast("long").alias(WEIGHT))
@@ -290,7 +313,7 @@ class Store:
             self.state = replace(s, buckets=wanted)
         path = place(self.spark, self.folder)
         # rebalanced by bucket: files of a good size, and a bucket with very many rows is split
-        rows.withColumn(_BUCKET, self.bucket()).hint("rebalance", F.col(_BUCKET)).write.partitionBy(_BUCKET).parquet(path)
+        rows.withColumn(_BUCKET, self.bucket()).hint("rebalance", F.col(_BUCKET)).sortWithinPartitions(_BUCKET, *(f"`{c}`" for c in self.by)).write.partitionBy(_BUCKET).parquet(path)
         new = Folder(path, s.schema, frozenset(range(wanted) if touched is None else touched))
         left = [] if touched is None else [replace(f, live=f.live - touched) for f in s.folders]
         self._now((*(f for f in left if f.live), new), gone=[*(f.path for f in s.folders if f.path not in {x.path for x in left if x.live}), *(f.path for f in s.pending)])
