@@ -183,7 +183,10 @@ class View:
         """All rows, with the columns of the key and of the order."""
         if self.maintained is not None:
             return self.maintained.rows
-        return self.store.rows if self.store is not None else self.compute(self.engine.frames(self.sources))
+        if self.store is None:
+            return self.compute(self.engine.frames(self.sources))
+        out = self.store.rows
+        return out.drop(*(c for c in out.columns if c.startswith("__agg")))
 
     @property
     def columns(self) -> list[str]:
